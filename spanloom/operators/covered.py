@@ -13,10 +13,11 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.common import cut, floor_div, strip
+from spanloom.operators.islands import islands
 
 WIDTH = 1 << 20
 
@@ -75,26 +76,11 @@ def periods_and_gaps(df: DataFrame, entity: list[str], start: str = "start", end
     """
     rows = df.where(F.col(start) < F.col(end)).select(F.to_json(F.struct(*entity), {"ignoreNullFields": "false"}).alias("entity"), floor_div(F.col(start), width).alias("slice"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
     rows = rows.repartition("entity", "slice").sortWithinPartitions("entity", "slice")
-    # read three times below, so it is written once to the shared folder
+    # read twice below, so it is written once to the shared folder
     local = cut(rows.mapInArrow(_fold, "entity string, slice long, s long, e long"))
-    in_slice = Window.partitionBy("entity", "slice")
-    run = in_slice.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    # what a slice hands on: its furthest end
-    reach = local.groupBy("entity", "slice").agg(F.max("e").alias("reach"))
-    by_entity = Window.partitionBy("entity").orderBy("slice")
-    reach = reach.withColumn("before", F.max("reach").over(by_entity.rowsBetween(Window.unboundedPreceding, -1)))
-    joined = local.join(reach.select("entity", "slice", "before"), ["entity", "slice"])
-    # the furthest end of all that starts earlier: beyond it a new period begins
-    joined = joined.withColumn("prev", F.greatest(F.max("e").over(run), F.col("before")))
-    heads = joined.where(F.col("prev").isNull() | (F.col("s") > F.col("prev")))
-    # a period ends where the next head's "prev" stands; the last one of a slice asks the slices after it
-    nxt = F.lead("prev").over(in_slice.orderBy("s"))
-    firsts = heads.groupBy("entity", "slice").agg(F.min_by("prev", "s").alias("first_prev"))
-    tails = reach.join(firsts, ["entity", "slice"], "left").withColumn("last", F.max("reach").over(Window.partitionBy("entity")))
-    tails = tails.withColumn("after", F.coalesce(F.first("first_prev", ignorenulls=True).over(by_entity.rowsBetween(1, Window.unboundedFollowing)), F.col("last")))
-    full = heads.withColumn("nxt", nxt).join(tails.select("entity", "slice", "after"), ["entity", "slice"])
-    both = F.array(F.struct(F.lit("period").alias("k"), F.col("s").alias("a"), F.coalesce("nxt", "after").alias("b")), F.struct(F.lit("gap").alias("k"), F.col("prev").alias("a"), F.col("s").alias("b")))
-    out = full.select("entity", F.explode(both).alias("x")).where("x.a is not null")
+    out = islands(local, ["entity"], "s", "e", width)
+    both = F.array(F.struct(F.lit("period").alias("k"), F.col("start").alias("a"), F.col("end").alias("b")), F.struct(F.lit("gap").alias("k"), F.col("prev_end").alias("a"), F.col("start").alias("b")))
+    out = out.select("entity", F.explode(both).alias("x")).where("x.a is not null")
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in entity)
     return out.select(F.from_json("entity", kinds).alias("_e"), "x").select(*[F.col("_e")[c].alias(c) for c in entity], F.col("x.k").alias("seg_kind"), F.col("x.a").alias("seg_start"), F.col("x.b").alias("seg_end"))
 
