@@ -40,13 +40,20 @@ def cells(blocks: DataFrame, missing: str = SKIP) -> DataFrame:
         width = F.max(F.length("seq")).over(Window.partitionBy("block"))
         rows = rows.withColumn("seq", F.coalesce("seq", F.repeat(F.lit("-"), width.cast("int"))))
     rows = rows.where("seq is not null and seq <> ''")
-    # the position of a base is its rank among the bases of its own sequence: a running count inside the row
-    symbols = F.split("seq", "")
-    ranks = F.aggregate(symbols, F.array().cast("array<int>"), lambda a, c: F.array_append(a, F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + F.when(c == "-", 0).otherwise(1)))
-    out = rows.select("block", "name", "start", "end", "strand", F.posexplode(F.arrays_zip(symbols.alias("nuc"), ranks.alias("rank"))).alias("i", "x"))
-    up, down = F.col("start") + F.col("x.rank") - 1, F.col("end") - F.col("x.rank")
-    pos = F.when(F.col("x.nuc") != "-", F.when(F.coalesce("strand", F.lit("+")) == "-", down).otherwise(up))
-    return out.select("block", "name", (F.col("i") + 1).alias("col"), F.col("x.nuc").alias("nuc"), pos.alias("pos"))
+    # a base's position is its rank among the bases of its sequence: counted up to its chunk, then within the chunk
+    chunks = F.regexp_extract_all("seq", F.lit("(?s).{1,64}"), F.lit(0))
+    bases = F.aggregate(F.transform(chunks, _bases), F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+    kept = ["block", "name", "start", "end", "strand"]
+    out = rows.select(*kept, F.posexplode(F.arrays_zip(chunks.alias("text"), bases.alias("base"))).alias("j", "c")).where("c.text is not null")
+    out = out.select(*kept, "j", "c", F.posexplode(F.split("c.text", "")).alias("i", "nuc"))
+    rank = F.col("c.base") + _bases(F.substring("c.text", F.lit(1), F.col("i") + 1))
+    up, down = F.col("start") + rank - 1, F.col("end") - rank
+    pos = F.when(F.col("nuc") != "-", F.when(F.coalesce("strand", F.lit("+")) == "-", down).otherwise(up))
+    return out.select("block", "name", (F.col("j") * 64 + F.col("i") + 1).alias("col"), "nuc", pos.alias("pos"))
+
+
+def _bases(c: Column) -> Column:
+    return F.length(F.replace(c, F.lit("-"), F.lit("")))
 
 
 def columns_at(blocks: DataFrame, wanted: DataFrame, missing: str = SKIP) -> DataFrame:

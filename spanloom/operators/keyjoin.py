@@ -71,7 +71,11 @@ def fold_columns(df: DataFrame, key: str, order: str, cols: list[str], shared_se
     group = df.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.array(*[f"`{c}`" for c in cols]).alias("v")))).alias("rows"))
     group = group.withColumn("rows", F.transform("rows", lambda r: r["v"]))
     if not shared_seen:
-        return group.select("_key", *[F.array_join(F.transform("rows", lambda r, i=i: r[i]), ";").alias(c) for i, c in enumerate(cols)])
+
+        def column(i: int) -> Column:
+            return F.array_join(F.transform("rows", lambda r: r[i]), ";")
+
+        return group.select("_key", *[column(i).alias(c) for i, c in enumerate(cols)])
 
     def one(acc: Column, row: Column) -> Column:
         def cell(a: Column, i: Column) -> Column:

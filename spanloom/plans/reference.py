@@ -51,12 +51,6 @@ def j02_overlap_join_closed(spark, d):
     return pairs.groupBy(F.col("b_name").alias("region")).agg(F.count("*").alias("hits"))
 
 
-@query(f"{with_('visits', 'reads')} select a.chrom, b.name as first_read, count(*) as n from visits a join (select distinct chrom, name from reads) b on a.name = b.name group by all")
-def j02_equal_names(spark, d):
-    names = v.reads(spark, d).select("name", F.col("chrom").alias("c")).distinct().select(F.col("name").alias("first_read"))
-    return v.visits(spark, d).join(names, F.col("name") == F.col("first_read")).groupBy("chrom", "first_read").agg(F.count("*").alias("n"))
-
-
 @query(f"{with_('reads', 'rois')}, j as (select b.name as region, a.\"start\" as s, a.\"end\" as e, a.name as n from rois b left join reads a on {OVER}) select region, coalesce(string_agg(n, ',' order by s, e, n), '') as hits from j group by 1")
 def j03_ordered_hits(spark, d):
     got = overlap.bucket_join(v.regions(spark, d).select("chrom", "start", "end", "name"), v.reads(spark, d).select("chrom", "start", "end", "name"))
@@ -402,9 +396,9 @@ def a06_pid(spark, d):
     return alignment.pid_by_position(alignment.genome_cells(v.blocks(spark, d), "A")).select("chrom", "pos", F.round("pid", 9).alias("pid"))
 
 
-@query("select event_id, round(avg(value) over (partition by user_id order by event_id rows unbounded preceding), 6) as mean from events")
+@query("select event_id, round(avg(value) over (partition by user_id order by event_id rows unbounded preceding), 9) as mean from events")
 def a07_running_mean(spark, d):
-    return stats.running_mean(table(spark, d, "events"), "value", "event_id", ["user_id"]).select("event_id", F.round("mean", 6).alias("mean"))
+    return stats.running_mean(table(spark, d, "events"), "value", "event_id", ["user_id"]).select("event_id", F.round("mean", 9).alias("mean"))
 
 
 @query(f"{with_('seqs')} select doc_id, round((length(seq) - length(replace(seq, 'A', ''))) / length(seq), 9) as a, (length(seq) - length(replace(seq, 'N', ''))) / length(seq) >= 0.1 as low from seqs")
@@ -466,7 +460,7 @@ def q07_similarity(spark, d):
 
 @query(f"""{with_('seqs')}, z as (select doc_id, substr(seq, 1, 80) as s from seqs where length(seq) >= 80), w as (select doc_id, s, unnest(generate_series(0, 70)) as i from z),
 h as (select doc_id, s, i, (select count(*) from generate_series(1, 10) t(k) where substr(s, cast(i + k as int), 1) = substr('AGATCGGAAG', cast(k as int), 1)) as m from w),
-b as (select doc_id, s, max(i) filter (m >= 6) as at from h group by all) select doc_id, case when at is null then s else substr(s, 1, cast(at as int)) || repeat('N', cast(80 - at as int)) end as clipped from b""")
+b as (select doc_id, s, max(i) filter (m >= 6) as hit from h group by all) select doc_id, case when hit is null then s else substr(s, 1, cast(hit as int)) || repeat('N', cast(80 - hit as int)) end as clipped from b""")
 def q15_clip_adaptor(spark, d):
     # six matches of ten rather than eight, so that random text has some; overhangs at the 5' end never reach six here
     s = v.seqs(spark, d).where("length(seq) >= 80").selectExpr("doc_id", "substring(seq, 1, 80) as s")
