@@ -51,7 +51,7 @@ def junctions_to_exons(reads: DataFrame, scheme: str = "BOTH") -> DataFrame:
         raise ValueError(f"unknown scheme {scheme}; one of {', '.join(SCHEMES)}")
     p = [F.regexp_extract("chrom", JUNCTION, i) for i in range(1, 6)]
     ok = F.when(F.col("chrom").rlike(JUNCTION), True).otherwise(F.raise_error(F.concat(F.lit("not a junction: "), F.coalesce("chrom", F.lit("null")))).cast("boolean"))
-    s1, e1, s2 = p[1].cast("long"), p[2].cast("long"), p[3].cast("long")
+    s1, e1, s2 = p[1].try_cast("long"), p[2].try_cast("long"), p[3].try_cast("long")
     first = _exon(p[0], s1 + F.col("start") - 1, e1, "%1")
     second = _exon(p[0], s2, s2 + (F.col("end") - (e1 - s1)) - 1, "%2")
     rows = reads.where(ok).select("strand", first.alias("x"), second.alias("y"))

@@ -212,7 +212,18 @@ def locus_files(files: list[str], extensions: list[str] | None = None) -> list[t
 def read_locus_alignment(spark: SparkSession, files: list[str], chrom: str, start: int, end: int, extensions: list[str] | None = None) -> DataFrame:
     """Only the files whose name says that they hold part of the wanted place are opened."""
     hit = [f for f, c, s, e in locus_files(files, extensions) if c == chrom and (s is None or (s < end and e > start))]
-    return read_maf(spark, hit) if hit else spark.createDataFrame([], MAF)
+    plain, odd = [f for f in hit if ":" not in f.rsplit("/", 1)[-1]], [f for f in hit if ":" in f.rsplit("/", 1)[-1]]
+    parts = [read_maf(spark, plain)] if plain else []
+    if odd:
+        # Hadoop's file systems refuse names with a colon, so the workers open those themselves, on a folder they share
+        def opened(path: str, _: str) -> Iterator[tuple]:
+            with open(path.removeprefix("file://"), encoding="utf-8") as f:
+                yield from parse_maf(path.rsplit("/", 1)[-1], f.read())
+
+        parts.append(_parsed(spark.createDataFrame([(f, "") for f in odd], "p string, value string").repartition(len(odd)), MAF, opened))
+    if not parts:
+        return spark.createDataFrame([], MAF)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 REPEAT_HEADER = re.compile(r"^\s*\d+\s+\d+\.\d+\s+\d+\.\d+\s+\d+\.\d+\s")
