@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.plain import plain, word_hashes
 
 SHINGLE = 3
-#: Shingle hashes kept of an item with more shingles than that.
-SKETCH = 64
+#: Shingle hashes kept of an item that has more.
+SKETCH = 128
 #: Share of the sketch that must occur for a candidate, well under what a verified case has.
 CANDIDATE = 0.10
 #: Words of the item, as a share, that the verified stretches must span. Changed words at the passage's rims cannot be
