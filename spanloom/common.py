@@ -5,6 +5,8 @@ Coordinate note: intervals are half-open ``[start, end)`` unless an operator say
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +39,14 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    scratch(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once as a table in the shared folder and read back, so that its lineage ends there.
+
+    Unlike ``checkpoint()``, which computes its input twice, this runs one job, keeps columns apart and survives lost
+    executors. The table stays until the folder is cleared.
+    """
+    at = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def floor_div(c: Column, n: int) -> Column:

@@ -49,18 +49,25 @@ def prefixed(df: DataFrame, tag: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"{tag}_{c}") for c in df.columns])
 
 
-def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", closed: bool = False, strand: bool = False) -> DataFrame:
+def levels(a: DataFrame, b: DataFrame, closed: bool = False) -> tuple[list[int], list[int]]:
+    """The levels that occur on either side: one scan of two columns each. Take it from the cheapest form of a side."""
+    reach = 1 if closed else 0
+    return tuple(_present(d.withColumn("_end", F.col("end") + reach), "start", "_end") for d in (a, b))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", closed: bool = False, strand: bool = False, known: tuple[list[int], list[int]] | None = None) -> DataFrame:
     """All pairs of ``a`` and ``b`` (chrom, start, end, anything else) that overlap; columns come back as a_* and b_*.
 
     Half-open: ``a.start < b.end and b.start < a.end``; ``closed``: ``<=`` for both. ``how``: inner, left (rows of ``a``
     without a partner once, with nulls), left_semi or left_anti. ``strand`` also asks for equal strands. Rows with a null
-    chrom, start or end have no partner. An empty side gives no pairs.
+    chrom, start or end have no partner. An empty side gives no pairs. ``known``: what ``levels`` gives, where the caller
+    has it already.
     """
+    in_a, in_b = known or levels(a, b, closed)
     a, b = prefixed(a, "a"), prefixed(b, "b")
     reach = 1 if closed else 0
     ea, eb = "_a_end", "_b_end"
     left, right = a.withColumn(ea, F.col("a_end") + reach), b.withColumn(eb, F.col("b_end") + reach)
-    in_a, in_b = _present(left, "a_start", ea), _present(right, "b_start", eb)
     cut = left.where("a_chrom is not null and a_start is not null and a_end is not null") if how == "inner" else left
     la = _laid(cut, "a_start", ea, in_b, "a") if how == "inner" else None
     lb = _laid(right.where("b_chrom is not null and b_start is not null and b_end is not null"), "b_start", eb, in_a, "b")
@@ -73,7 +80,7 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", closed: bool =
         return la.join(lb, (F.col("_level") == F.col("_level_b")) & (F.col("_bin") == F.col("_bin_b")) & meets & once).select(*a.columns, *b.columns)
     # rows of ``a`` are numbered by their content and copies, which survives a recomputed task
     keyed = a.groupBy(*a.columns).agg(F.count("*").alias("_copies"))
-    pairs = overlap_join(_unprefixed(keyed.select(*a.columns), "a"), _unprefixed(b, "b"), closed=closed, strand=strand)
+    pairs = overlap_join(_unprefixed(keyed.select(*a.columns), "a"), _unprefixed(b, "b"), closed=closed, strand=strand, known=(in_a, in_b))
     same = F.lit(True)
     renamed = pairs.select(*[F.col(c).alias(f"_p_{c}") for c in a.columns], *b.columns)
     for c in a.columns:
@@ -101,7 +108,7 @@ def count_overlaps(regions: DataFrame, reads: DataFrame) -> DataFrame:
     """
     cols = regions.columns
     keyed = regions.groupBy(*cols).agg(F.count("*").alias("_copies"))
-    hits = overlap_join(keyed.select(*cols), reads.select("chrom", "start", "end"))
+    hits = overlap_join(keyed.select(*cols), reads.select("chrom", "start", "end"), known=levels(regions, reads))
     counts = hits.groupBy(*[f"a_{c}" for c in cols]).agg(F.count("*").alias("n_overlaps"))
     same = F.lit(True)
     for c in cols:

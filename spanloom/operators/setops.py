@@ -5,9 +5,10 @@ All of them run on ``islands`` and ``overlap_join``, so no chromosome is ever on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.common import cut
 from spanloom.operators.islands import islands, members
 from spanloom.operators.overlap import overlap_join
 
@@ -45,7 +46,8 @@ def collapse_exact(df: DataFrame, order: str, stranded: bool = False, combine_na
 
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     """Intersection of the two unions; touching stretches share nothing."""
-    pairs = overlap_join(collapse(a), collapse(b))
+    # each union is read twice by the join (levels, rows), so it is written once to the shared folder
+    pairs = overlap_join(cut(collapse(a)), cut(collapse(b)))
     return pairs.select(F.col("a_chrom").alias("chrom"), F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"), F.lit("X").alias("name"), F.lit(0).cast("long").alias("score"), F.lit("+").alias("strand"))
 
 
@@ -71,7 +73,7 @@ def subtract(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     that row's key alone. Rows of ``a`` that meet nothing pass through; empty ones vanish.
     """
     # null strands count here, so the union is taken without the strand rule
-    holes = islands(b.select("chrom", "start", "end"), ["chrom"]).select("chrom", "start", "end")
+    holes = cut(islands(b.select("chrom", "start", "end"), ["chrom"]).select("chrom", "start", "end"))
     pairs = overlap_join(a.select(key, "chrom", "start", "end"), holes).select(F.col(f"a_{key}").alias("_key"), F.col("b_start").alias("hs"), F.col("b_end").alias("he"))
     near = pairs.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("hs", "he"))).alias("holes"))
     full = a.join(near, a[key] == near["_key"], "left").where("start < end")
@@ -86,13 +88,3 @@ def subtract(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def gaps(df: DataFrame) -> DataFrame:
     """The holes between neighbouring stretches of each chrom."""
     return islands(df, ["chrom"]).where("prev_end is not null").select("chrom", F.col("prev_end").alias("start"), F.col("start").alias("end"))
-
-
-def nearest_before(df: DataFrame) -> DataFrame:
-    """Distance of each stretch to the one before it in its chrom."""
-    return islands(df, ["chrom"]).select("chrom", "start", "end", (F.col("start") - F.col("prev_end")).alias("gap"))
-
-
-def running_total(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("total", F.sum(value).over(w))

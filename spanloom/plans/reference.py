@@ -205,6 +205,14 @@ def j19_block_lookup(spark, d):
     return overlap.overlap_join(q, alignment.genome_blocks(v.blocks(spark, d), "A")).select(F.col("a_start").alias("start"), F.col("b_block").alias("block"))
 
 
+@query(f"""{with_('seqs', 'blocks', 'cells')}, g as (select c.block, c.name, c.nuc, a.pos from cells c join cells a on a.block = c.block and a.col = c.col and a.name = 'A.chr1' and a.pos % 997 = 0),
+u as (select pos from g group by pos having count(distinct block) = 1) select g.pos, name, nuc from g join u using (pos)""")
+def j20_column_lookup(spark, d):
+    g = alignment.genome_cells(v.blocks(spark, d), "A").where("pos % 997 = 0")
+    one = g.groupBy("chrom", "pos").agg(F.count_distinct("block").alias("n")).where("n = 1").select("chrom", "pos")
+    return alignment.unique_column(g, one).select("pos", "name", "nuc")
+
+
 @query(f"{with_('wig', 'points')} select a.chrom, a.pos, b.chrom is not null as covered, b.score from points a left join wig b on a.chrom = b.chrom and a.pos >= b.\"start\" and a.pos < b.\"end\"")
 def j21_wig_lookup(spark, d):
     return overlap.lookup(v.points(spark, d), v.wig(spark, d))
@@ -278,6 +286,12 @@ def i07_subtract(spark, d):
     return setops.subtract(v.regions(spark, d), v.reads(spark, d), "name").select("name", "start", "end")
 
 
+@query("select l_suppkey, l_linenumber from lineitem where l_returnflag = 'A' intersect all select l_suppkey, l_linenumber from lineitem where l_returnflag = 'R'")
+def i08_intersect_all(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.where("l_returnflag = 'A'").select("l_suppkey", "l_linenumber").intersectAll(li.where("l_returnflag = 'R'").select("l_suppkey", "l_linenumber"))
+
+
 @query("select l_suppkey, l_linenumber from lineitem where l_returnflag = 'A' except all select l_suppkey, l_linenumber from lineitem where l_returnflag = 'R'")
 def i08_except_all(spark, d):
     li = table(spark, d, "lineitem")
