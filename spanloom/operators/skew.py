@@ -28,16 +28,20 @@ def top_per_key(df: DataFrame, key: str, order: list[Column], k: int, spread: Co
     """
     df = df.where(F.col(key).isNotNull())
     heavy = heavy_keys(df, key, share)
-    ordinary = Window.partitionBy(key).orderBy(*order)
+    # helper columns whose names no column of df has
+    tag = "_"
+    while any(c.startswith(tag) for c in df.columns):
+        tag += "_"
+    rank, salt, salts, hot_key = (f"{tag}{n}" for n in ("rank", "salt", "salts", "key"))
+
+    def first(d: DataFrame, *by: str) -> DataFrame:
+        return d.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k).drop(rank)
+
     if not heavy:
-        return df.withColumn("_rank", F.row_number().over(ordinary)).where(F.col("_rank") <= k).drop("_rank")
+        return first(df, key)
     spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
-    listed = spark.createDataFrame([(x, max(8, -(-n // rows_per_task))) for x, n, _ in heavy], f"_heavy_key {kind}, _salts long")
-    marked = df.join(F.broadcast(listed), df[key] == listed["_heavy_key"], "left")
-    light = marked.where(F.col("_heavy_key").isNull()).drop("_heavy_key", "_salts")
-    light = light.withColumn("_rank", F.row_number().over(ordinary)).where(F.col("_rank") <= k).drop("_rank")
-    hot = marked.where(F.col("_heavy_key").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(spread), F.col("_salts")))
-    per_salt = Window.partitionBy(key, "_salt").orderBy(*order)
-    hot = hot.withColumn("_rank", F.row_number().over(per_salt)).where(F.col("_rank") <= k).drop("_rank")
-    hot = hot.withColumn("_rank", F.row_number().over(ordinary)).where(F.col("_rank") <= k).drop("_rank", "_salt", "_heavy_key", "_salts")
-    return light.unionByName(hot)
+    listed = spark.createDataFrame([(x, max(8, -(-n // rows_per_task))) for x, n, _ in heavy], f"{hot_key} {kind}, {salts} long")
+    marked = df.join(F.broadcast(listed), df[key] == listed[hot_key], "left")
+    light = first(marked.where(F.col(hot_key).isNull()).select(*df.columns), key)
+    hot = marked.where(F.col(hot_key).isNotNull()).withColumn(salt, F.pmod(F.xxhash64(spread), F.col(salts)))
+    return light.unionByName(first(first(hot, key, salt), key).select(*df.columns))
