@@ -7,7 +7,7 @@ import re
 
 STRING = re.compile(r'"((?:[^"\\]|\\.)*+)("?)(\s*:)?', re.DOTALL)
 CONTENT_KEYS = {"source", "text", "text/plain", "text/html", "text/markdown", "text/latex", "traceback", "evalue"}
-MARKER = re.compile(r"^(?:#\s*%%.*|#\s*Out:\s*|(?:In|Out) ?\[[\d ]*\]:\s*|\s*(?:```|~~~)[\w{}. -]*)$", re.MULTILINE)
+MARKER = re.compile(r"^(?:#[ \t]*%%.*|#[ \t]*Out:[ \t]*|(?:In|Out) ?\[[\d ]*\]:[ \t]*|[ \t]*(?:```|~~~)[\w{}. -]*)$", re.MULTILINE)
 PREFIX = re.compile(r"^#{1,6}(?: |$)(?:#{1,6} )?", re.MULTILINE)
 BLANK = re.compile(r"\n[ \t]*\n")
 

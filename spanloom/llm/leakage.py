@@ -36,6 +36,9 @@ LEAST = 0.36
 BREAK, DRIFT = 9, 4
 #: A second stretch counts from this many words on.
 SECOND = 6
+#: Set phrases are runs of at least that many words that different items share. Of the item's other words, as a share,
+#: the stretches must span that much, so that a phrase alone is no case.
+PHRASE, OWN = 5, 0.2
 #: Characters of item text handled in one pass over the corpus; more items take more passes.
 PASS_CHARS = 16_000_000
 
@@ -61,6 +64,7 @@ class Items:
     place: np.ndarray
     in_sketch: np.ndarray
     sketch_size: np.ndarray
+    own: list[np.ndarray]
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str]) -> Items:
@@ -73,9 +77,24 @@ class Items:
             distinct = np.unique(s)
             size[i] = max(1, min(SKETCH, len(distinct)))
             kept.append(s <= distinct[size[i] - 1] if len(distinct) else np.zeros(0, bool))
-        s = np.concatenate(shingle)
+        s = np.concatenate(shingle) if shingle else np.zeros(0, np.uint64)
         o = np.argsort(s, kind="stable")
-        return cls(np.array(ids, np.int64), n, np.unique(words), s[o], np.concatenate(item)[o], np.concatenate(place)[o], np.concatenate(kept)[o], size)
+        # shingles of several items, copies of one item taken once
+        once = {x.tobytes(): x for x in shingle}
+        seen, times = np.unique(np.concatenate([np.unique(x) for x in once.values()] or [s]), return_counts=True)
+        own = [_own_words(np.isin(x, seen[times > 1]), int(m)) for x, m in zip(shingle, n)]
+        return cls(np.array(ids, np.int64), n, np.unique(words), s[o], np.concatenate(item or [[]])[o].astype(np.int64), np.concatenate(place or [[]])[o].astype(np.int64), np.concatenate(kept or [[]])[o].astype(bool), size, own)
+
+
+def _own_words(shared: np.ndarray, n: int) -> np.ndarray:
+    """Running count of an item's words outside of set phrases; of all words if phrases make up most of it."""
+    phrase = np.zeros(n, bool)
+    edge = np.flatnonzero(np.diff(np.r_[0, shared.astype(np.int8), 0]))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        if b - a + SHINGLE - 1 >= PHRASE:
+            phrase[a : b + SHINGLE - 1] = True
+    own = ~phrase if phrase.sum() * 2 <= n else np.ones(n, bool)
+    return np.r_[0, np.cumsum(own)]
 
 
 def _stretches(at: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
@@ -97,15 +116,17 @@ def _stretches(at: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
     return [(s[1], s[2], s[3]) for s in closed + open_]
 
 
-def covered(at: np.ndarray, place: np.ndarray) -> int:
-    """Words of the item spanned by the best one or two stretches that don't share words."""
+def covered(at: np.ndarray, place: np.ndarray, own: np.ndarray) -> int:
+    """Words of the item spanned by the best one or two stretches that don't share words and aren't mere set phrases."""
     runs = [(a, b + SHINGLE, n) for a, b, n in _stretches(at, place) if n > 1]
     runs = [r for r in runs if r[2] * 3 >= r[1] - r[0] - 2]  # nearly unbroken: a changed word hides three shingles
-    best = 0
-    for i, (a, b, _) in enumerate(runs):
-        best = max(best, b - a)
-        for c, d, _ in runs[:i]:
-            if min(b - a, d - c) >= SECOND and (c >= b - 2 or a >= d - 2):
+    runs = [(a, b, int(own[b] - own[a])) for a, b, _ in runs]
+    least, best = OWN * own[-1], 0
+    for i, (a, b, m) in enumerate(runs):
+        if m >= least:
+            best = max(best, b - a)
+        for c, d, k in runs[:i]:
+            if m + k >= least and min(b - a, d - c) >= SECOND and (c >= b - 2 or a >= d - 2):
                 best = max(best, b - a + d - c)
     return best
 
@@ -141,7 +162,7 @@ def search(items: Items, texts: list[str]) -> Iterator[tuple[int, int, float]]:
     hits = np.add.reduceat(sketch.astype(np.int64), starts)
     for s, e in zip(starts[hits >= np.maximum(2, CANDIDATE * items.sketch_size[item[starts]])], stops[hits >= np.maximum(2, CANDIDATE * items.sketch_size[item[starts]])]):
         k = int(item[s])
-        yield int(owner[at[s]]), k, covered(at[s:e], place[s:e]) / max(1, int(items.n_words[k]))
+        yield int(owner[at[s]]), k, covered(at[s:e], place[s:e], items.own[k]) / max(1, int(items.n_words[k]))
 
 
 def _pass(docs: DataFrame, items: Items, chars_per_batch: int, least: float) -> DataFrame:

@@ -43,8 +43,8 @@ SEPARATOR = re.compile(r"\s[|•·/–-]\s|[,;，、]\s?|\n|\s{3,}")
 WORD = re.compile(r"[^\W\d_]+")
 DIGIT = re.compile(r"\d")
 LOG_LINE = re.compile(r"^\W*(?:\w+\s)?(?:warn(?:ing)?|info|error|debug|trace|fatal|notice|critical)\b.{0,3}:?", re.IGNORECASE)
-TRACE = re.compile(r'Traceback|^\s*File "|Error\b', re.MULTILINE)
-CODE_MARK = re.compile(r"[=(){}\[\]<>%\\]|\bimport\b|^\s*(?:def|class|for|return|using|library|function|end)\b", re.MULTILINE)
+TRACE = re.compile(r'Traceback|^[ \t]*File "|Error\b', re.MULTILINE)
+CODE_MARK = re.compile(r"[=(){}\[\]<>%\\]|\bimport\b|^[ \t]*(?:def|class|for|return|using|library|function|end)\b", re.MULTILINE)
 IDEOGRAPH = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")
 
 
