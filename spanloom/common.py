@@ -33,8 +33,6 @@ def scratch(spark: SparkSession) -> str:
 
         at = "file://" + tempfile.mkdtemp(prefix="spanloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(at)
     return at
 
 
