@@ -31,7 +31,8 @@ REPEATING = 0.92
 #: Least share of a document's characters.
 LEAST = 0.5
 
-META = re.compile(r'<meta[^<>]*?content=\\?"([^"<>]*)"?[^<>]*>')
+META = re.compile(r'<meta[^<>]*?content=\\?"([^"<>]*)"?[\s/\\"]{0,6}>')
+META_OPEN = re.compile(r'<meta\b[^<>\n]{0,120}?content=\\?["\']?')
 LINK = re.compile(r"""<a\s[^<>]*>[^<>]*</a>|\[[^\[\]\n]*\]\((?:https?://|www\.)[^()\s]*\)|"?(?:https?://|www\.)[^\s"'<>)\]]+"?""")
 TAG = re.compile(r"</?[a-zA-Z!][^<>]*>|<!--|-->")
 LITERAL = re.compile(r'"""(.*?)(?:"""|\Z)|\'\'\'(.*?)(?:\'\'\'|\Z)|\[\s*("(?:[^"\\\n]|\\.){2,}"(?:\s*,\s*"(?:[^"\\\n]|\\.)*")+)\s*\]?|"((?:[^"\\\n]|\\.){60,})"|\'((?:[^\'\\\n]|\\.){60,})\'', re.DOTALL)
@@ -89,6 +90,12 @@ def _repeats(w: list[str]) -> bool:
     return top >= 3 and 2 * top >= 0.22 * len(w)
 
 
+def _repeated(w: list[str]) -> float:
+    """Share of the word pairs that occur at least four times."""
+    pairs = Counter(zip(w, w[1:]))
+    return sum(n for n in pairs.values() if n >= 4) / max(1, len(w) - 1)
+
+
 def _lines_like_data(lines: list[str]) -> bool:
     """Logs, tables, counters: most lines carry numbers or a log level."""
     lines = [x for x in lines if x and not x.isspace()]
@@ -104,7 +111,7 @@ def stuffed_chars(b: str, depth: int = 0) -> int:
     if depth == 0:
         b = PREFIX.sub("", b)
         if "<meta" in b:
-            b = META.sub(r"\1\n", b)
+            b = META_OPEN.sub("", META.sub(r"\1\n", b))
         if '"' in b or "'" in b:
             inner = [next(g for g in m.groups() if g is not None) for m in LITERAL.finditer(b) if any(g is not None for g in m.groups())]
             held = sum(map(len, inner))
@@ -140,7 +147,7 @@ def stuffed_chars(b: str, depth: int = 0) -> int:
         return 0
     ratio = redundancy(b)
     ends = len(SENTENCE.findall(b))
-    if ratio < EXTREME and (_repeats(w) or ends < n / 120):
+    if ratio < EXTREME and (_repeats(w) or ends < n / 120 or _repeated(w) >= 0.7):
         return n
     if ratio < REDUNDANT and ends < n / 150 and len(set(w)) <= 0.62 * len(w):
         return n
