@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.common import cut
+
 SKIP, GAPS = "SKIP", "TREAT_AS_ALL_GAPS"
 
 
@@ -178,3 +180,35 @@ def unique_column(gcells: DataFrame, wanted: DataFrame) -> DataFrame:
     n = F.size(F.collect_set("block").over(Window.partitionBy("chrom", "pos")))
     ok = F.when(n == 1, F.col("nuc")).otherwise(F.raise_error(F.concat(F.when(n == 0, "no").otherwise("no unique"), F.lit(" alignment column at "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))).cast("string"))
     return hits.select("chrom", "pos", "name", ok.alias("nuc"))
+
+
+def unique_columns(blocks: DataFrame, reference: str) -> DataFrame:
+    """chrom, pos, name, nuc: the column of every genome position that exactly one block holds.
+
+    Sequences without symbols stand as gaps throughout; a block without one reference sequence fails. The rows of a block
+    are brought together once and laid out side by side, so no cells are shuffled; which positions lie in several blocks
+    is told by the blocks' places alone.
+    """
+    from spanloom.operators.overlap import overlap_join
+
+    rows = blocks.groupBy("block").agg(F.collect_list(F.struct("name", "seq", "start", "end", "strand")).alias("rows"))
+    refs = F.filter("rows", lambda r: r["name"].startswith(f"{reference}."))
+    wrong = F.raise_error(F.concat(F.lit("block without one reference sequence: "), F.col("block").cast("string"))).cast(rows.select(refs[0]).dtypes[0][1])
+    rows = rows.select("block", "rows", F.when(F.size(refs) == 1, F.get(refs, F.lit(0))).otherwise(wrong).alias("r")).where("r.seq is not null and r.seq <> ''")
+    n, neg = _bases(F.col("r.seq")), F.coalesce("r.strand", F.lit("+")) == "-"
+    rows = rows.withColumns({"chrom": F.substring_index("r.name", ".", -1), "s": F.when(neg, F.col("r.end") - n).otherwise(F.col("r.start")), "neg": neg, "n": n})
+    places = cut(rows.select("block", "chrom", F.col("s").alias("start"), (F.col("s") + F.col("n")).alias("end")).where("start < end"))
+    twice = overlap_join(places, places).where("a_block <> b_block").groupBy(F.col("a_block").alias("_tb")).agg(F.collect_set(F.struct(F.greatest("a_start", "b_start").alias("s"), F.least("a_end", "b_end").alias("e"))).alias("twice"))
+
+    pieces = lambda c: F.regexp_extract_all(c, F.lit("(?s).{1,64}"), F.lit(0))
+    ref = pieces(F.col("r.seq"))
+    before = F.aggregate(F.transform(ref, _bases), F.array(F.lit(0)), lambda a, k: F.array_append(a, F.element_at(a, -1) + k))
+    gaps = F.repeat(F.lit("-"), F.length("r.seq"))
+    out = rows.join(twice, F.col("block") == F.col("_tb"), "left").select("chrom", "s", "neg", "n", "twice", ref.alias("ref"), before.alias("before"), gaps.alias("gaps"), F.explode("rows").alias("row"))
+    kept = ["chrom", "s", "neg", "n", "twice", F.col("row.name").alias("name")]
+    out = out.select(*kept, F.explode(F.arrays_zip("ref", "before", pieces(F.coalesce("row.seq", "gaps")).alias("text"))).alias("c")).where("c.ref is not null and c.text is not null")
+    out = out.select(*kept[:-1], "name", "c", F.posexplode(F.arrays_zip(F.split("c.ref", "").alias("ref"), F.split("c.text", "").alias("nuc"))).alias("i", "x")).where("x.ref <> '-' and x.nuc is not null")
+    rank = F.col("c.before") + _bases(F.substring("c.ref", F.lit(1), F.col("i") + 1))
+    out = out.select("chrom", "twice", "name", F.col("x.nuc").alias("nuc"), F.when(F.col("neg"), F.col("s") + F.col("n") - rank).otherwise(F.col("s") + rank - 1).alias("pos"))
+    alone = F.col("twice").isNull() | ~F.exists("twice", lambda t: (F.col("pos") >= t["s"]) & (F.col("pos") < t["e"]))
+    return out.where(alone).select("chrom", "pos", "name", "nuc")

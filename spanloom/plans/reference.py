@@ -213,6 +213,12 @@ def j20_column_lookup(spark, d):
     return alignment.unique_column(g, one).select("pos", "name", "nuc")
 
 
+@query(f"""{with_('seqs', 'blocks', 'cells')}, g as (select c.block, c.name, c.nuc, a.pos from cells c join cells a on a.block = c.block and a.col = c.col and a.name = 'A.chr1' and a.pos is not null),
+u as (select pos from g group by pos having count(distinct block) = 1) select g.pos, name, nuc from g join u using (pos)""")
+def j20_column_lookup_all(spark, d):
+    return alignment.unique_columns(v.blocks(spark, d), "A").select("pos", "name", "nuc")
+
+
 @query(f"{with_('wig', 'points')} select a.chrom, a.pos, b.chrom is not null as covered, b.score from points a left join wig b on a.chrom = b.chrom and a.pos >= b.\"start\" and a.pos < b.\"end\"")
 def j21_wig_lookup(spark, d):
     return overlap.lookup(v.points(spark, d), v.wig(spark, d))
