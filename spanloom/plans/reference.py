@@ -114,6 +114,13 @@ def j10_unpaired(spark, d):
     return keyjoin.join_tables(_customers(spark, d), o, "c_custkey", policy="all_pairwise_combinations", missing="NA", unpaired=True)
 
 
+@query("""select coalesce(cast(c_custkey as varchar), 'NA') as c_custkey, coalesce(c_name, 'NA') as c_name, coalesce(c_mktsegment, 'NA') as c_mktsegment,
+coalesce(cast(o_orderkey as varchar), 'NA') as o_orderkey, coalesce(o_orderstatus, 'NA') as c_name_2 from customer full join orders on c_custkey = o_custkey + 7""")
+def j10_unpaired_all(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_custkey") + 7).cast("string").alias("c_custkey"), F.col("o_orderkey").cast("string"), F.col("o_orderstatus").alias("c_name"))
+    return keyjoin.join_tables(_customers(spark, d), o, "c_custkey", policy="all_pairwise_combinations", missing="NA", unpaired=True)
+
+
 @query("""with s as (select s_name, case when s_suppkey % 7 = 0 then 'NA' else cast(s_nationkey as varchar) end as k from supplier),
 n as (select case when n_nationkey % 5 = 0 then 'NA' else cast(n_nationkey as varchar) end as k, case when n_nationkey % 3 = 0 then 'NA' else n_name end as n_name from nation)
 select s_name, s.k, n_name from s join n on s.k = n.k""")

@@ -25,3 +25,13 @@ def test_positions_in_several_blocks_are_left_out(spark):
     b = spark.createDataFrame(rows, "block long, name string, seq string, start long, end long, strand string")
     got = alignment.unique_columns(b, "A")
     assert sorted(tuple(r)[1:] for r in got.collect()) == [(10, "A.c", "A"), (10, "B.c", "A"), (11, "A.c", "C"), (11, "B.c", "T"), (13, "A.c", "T"), (13, "B.c", "-"), (30, "A.c", "A"), (30, "B.c", "-"), (31, "A.c", "C"), (31, "B.c", "-")]
+
+
+def test_every_order_is_joined(spark):
+    from spanloom.common import table
+    from spanloom.plans import reference
+
+    equals_its_sql(spark, "j10_unpaired_all")
+    got = reference.j10_unpaired_all(spark, DATA)
+    assert got.where("o_orderkey <> 'NA'").select("o_orderkey").distinct().count() == table(spark, DATA, "orders").count()
+    assert got.where("c_name = 'NA'").count() > 0 and got.where("o_orderkey = 'NA'").count() > 0
