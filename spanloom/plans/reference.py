@@ -496,6 +496,29 @@ def q15_clip_adaptor(spark, d):
     return s.select("doc_id", out.alias("clipped"))
 
 
+@query(f"""{with_('seqs')}, z as (select doc_id, replace(seq, 'N', '-') as s, length(seq) as n, unnest(generate_series(0, 2)) as k from seqs),
+t as (select *, n * k // 3 + 1 as f, n * (k + 1) // 3 + 1 as e from z)
+select doc_id, k, substr(s, cast(f as int), cast(e - f as int)) as piece, cast(1000 + length(replace(substr(s, 1, cast(f - 1 as int)), '-', '')) as bigint) as "start", cast(length(replace(substr(s, cast(e as int)), '-', '')) + 7 as bigint) as remaining from t""")
+def q06_gapped_subsequence_all(spark, d):
+    # thirds, so that every symbol is in one piece
+    s = v.seqs(spark, d).select("doc_id", F.replace("seq", F.lit("N"), F.lit("-")).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("k"))
+    first, stop = F.expr("cast(length(s) * k div 3 + 1 as int)"), F.expr("cast(length(s) * (k + 1) div 3 + 1 as int)")
+    x = sq.gapped_subsequence("s", F.lit(1000).cast("long"), F.lit("+"), F.lit(7).cast("long"), first, stop)
+    return s.select("doc_id", "k", x.alias("x")).select("doc_id", "k", F.col("x.seq").alias("piece"), F.col("x.start").alias("start"), F.col("x.remaining").alias("remaining"))
+
+
+@query(f"""{with_('seqs')}, c as (select doc_id, seq, unnest(generate_series(1, length(seq) - 5)) as i from seqs),
+m as (select doc_id, count(*) filter (substr(seq, cast(i as int), 1) = substr(seq, cast(i + 5 as int), 1)) as same from c group by 1) select doc_id, coalesce(same, 0) as same from seqs left join m using (doc_id)""")
+def q07_similarity_all(spark, d):
+    n = F.length("seq")
+    return v.seqs(spark, d).select("doc_id", F.when(n > 5, sq.similarity("seq", 0, n - 6, "seq", 5, n - 1)).otherwise(0).cast("long").alias("same"))
+
+
+@query()
+def q15_clip_adaptor_all(spark, d):
+    return v.seqs(spark, d).select("doc_id", sq.clip_adaptor("seq", F.lit("AGATCGGAAGAGC")).alias("clipped"))
+
+
 @query(f"{with_('seqs')} select doc_id, regexp_matches(seq, '^A.C') as m, regexp_matches(seq, '^A.T.*') and length(seq) >= 9 as l from seqs")
 def q17_mask_match(spark, d):
     return v.seqs(spark, d).select("doc_id", sq.mask_match("seq", F.lit("AnC")).alias("m"), sq.mask_match("seq", F.lit("ANTNNNNNN")).alias("l"))

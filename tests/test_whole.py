@@ -35,3 +35,35 @@ def test_every_order_is_joined(spark):
     got = reference.j10_unpaired_all(spark, DATA)
     assert got.where("o_orderkey <> 'NA'").select("o_orderkey").distinct().count() == table(spark, DATA, "orders").count()
     assert got.where("c_name = 'NA'").count() > 0 and got.where("o_orderkey = 'NA'").count() > 0
+
+
+def test_whole_sequences_are_sliced_and_compared(spark):
+    from spanloom.plans import reference, views
+
+    equals_its_sql(spark, "q06_gapped_subsequence_all")
+    equals_its_sql(spark, "q07_similarity_all")
+    got = {}
+    for r in reference.q06_gapped_subsequence_all(spark, DATA).orderBy("k").collect():
+        got[r.doc_id] = got.get(r.doc_id, "") + r.piece
+    assert got == {r.doc_id: r.seq.replace("N", "-") for r in views.seqs(spark, DATA).collect()}
+
+
+def clipped(seq, adaptor="AGATCGGAAG", least=8):
+    n, k = len(seq), len(adaptor)
+    for i in [*range(n - k, -1, -1), *range(-1, -k, -1)] if n >= k else range(-1, -k, -1):
+        a = max(i, 0)
+        if sum(x == y for x, y in zip(seq[a : i + k], adaptor[a - i :])) >= least:
+            return seq[:a] + "N" * (n - a)
+    return seq
+
+
+def test_adaptors_are_clipped_anywhere(spark, tmp_path):
+    from spanloom.plans import reference, views
+
+    texts = ["T" * 90 + "AGATCGGAAG" + "T" * 9, "T" * 200 + "AGCTCGGATG", "ATCGGAAG" + "T" * 20, "AGATCGGA", "AGAT"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (DATA, str(tmp_path)):
+        want = {r.doc_id: clipped(r.seq) for r in views.seqs(spark, d).collect()}
+        got = {r.doc_id: r.clipped for r in reference.q15_clip_adaptor_all(spark, d).collect()}
+        assert got == want
+    assert got == {0: "T" * 90 + "N" * 19, 1: "T" * 200 + "N" * 10, 2: "N" * 28, 3: "AGATCGGA", 4: "AGAT"}
