@@ -1,10 +1,10 @@
-"""Rows that fail to parse: a minimum-cost error parse that either loads a line or says which edits it would take.
+"""Rows that fail to parse: an error parse that either loads a line or says which edits it would take.
 
-A line is read by a four-state automaton (field start, bare field, quoted field, after a closing quote). Reading without
-an edit costs nothing. Where that fails, a dynamic program over the line's tokens (quotes, tabs and runs of anything
-else) inserts or deletes quotes and delimiters; a quote edit weighs more than any number of delimiter edits, so the
-cheapest parse has delimiter edits only if the quoting is sound. A line with a zero-cost parse whose fields have their
-types is loaded; otherwise the first edit class or failed type is the reason.
+A line is first read without edits, by a regular expression: that plain parse, the number of fields and their types, in
+this order, decide the reason. The edits only annotate it: where the quoting is unsound, a dynamic program over the
+line's tokens (quotes, tabs and runs of anything else) finds the fewest insertions and deletions of quotes and delimiters
+by four states (field start, bare field, quoted field, after a closing quote); a wrong number of fields is noted as that
+many delimiter edits, without their places. A line with a plain parse whose fields have their types is loaded.
 """
 
 from __future__ import annotations
@@ -151,8 +151,8 @@ def parse_lines(df: DataFrame) -> DataFrame:
     """Every record line of ``df`` (line_id, record_kind, line) with its fields, or its reason and the edits it would take.
 
     Lines that are no records (blank, comment, ``track``, ``browser``) and null lines give no row; so do kinds other than
-    those of ``KINDS``. Very long lines are read whole. Each row is judged alone: no shuffle, no state. At most the first
-    100 edits are spelled out; ``n_edits`` counts all.
+    those of ``KINDS``. Very long lines are read whole. Each row is judged alone: no shuffle, no state. All edits are
+    spelled out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +161,7 @@ def parse_lines(df: DataFrame) -> DataFrame:
             for i, k, x in zip(b["line_id"], b["record_kind"], b["line"]):
                 reason, edits, fields = parse_line(k, x)
                 if reason is not None or fields is not None:
-                    rows.append((i, k, reason, len(edits), ",".join(edits[:100]), fields))
+                    rows.append((i, k, reason, len(edits), ",".join(edits), fields))
             yield pd.DataFrame(rows, columns=["line_id", "record_kind", "reason", "n_edits", "edits", "fields"])
 
     return df.select("line_id", "record_kind", "line").mapInPandas(run, SCHEMA)

@@ -67,3 +67,11 @@ def test_adaptors_are_clipped_anywhere(spark, tmp_path):
         got = {r.doc_id: r.clipped for r in reference.q15_clip_adaptor_all(spark, d).collect()}
         assert got == want
     assert got == {0: "T" * 90 + "N" * 19, 1: "T" * 200 + "N" * 10, 2: "N" * 28, 3: "AGATCGGA", 4: "AGAT"}
+
+
+def test_all_edits_are_spelled_out(spark):
+    from spanloom.operators import parse_errors
+
+    df = spark.createDataFrame([(1, "bed", "\t".join("a" * 300)), (2, "bed", 'a"b\t' * 150 + "c")], "line_id long, record_kind string, line string")
+    for r in parse_errors.parse_lines(df).collect():
+        assert r.n_edits > 100 and len(r.edits.split(",")) == r.n_edits
