@@ -77,6 +77,13 @@ def sc20_table(spark, d):
     return text.read_table(spark, at).drop("ord")
 
 
+@query("select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, o_orderstatus from orders")
+def sc20_table_all(spark, d):
+    at = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
+    sinks.write_table(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(3), at)
+    return text.read_table(spark, at).drop("ord")
+
+
 @query("""select trim(name) as name, cast("count" as bigint) as "count" from exon_counts where name is not null and "count" is not null""")
 def sc22_exon_counts(spark, d):
     lines = table(spark, d, "exon_counts").where("name is not null and count is not null").select(F.concat_ws("\t", "name", F.col("count").cast("string")).alias("value"))

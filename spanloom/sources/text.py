@@ -99,9 +99,9 @@ def read_wig_directory(spark: SparkSession, path: str, chroms: list[str] | None
 def read_table(spark: SparkSession, path: str, header: bool = True, sep: str = "\t") -> DataFrame:
     """A delimited table, all strings. Leading and trailing empty columns are kept, blank lines skipped, ragged rows fail.
 
-    The header is the file's first line; without one, columns are c1, c2, ... ``ord`` is a row's place in its file.
+    The header is the first line of each file; without one, columns are c1, c2, ... ``ord`` gives the order of a file's rows.
     """
-    text = spark.read.text(path).where("value <> ''").withColumn("ord", F.monotonically_increasing_id())
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).where("value <> ''").withColumn("ord", F.monotonically_increasing_id())
     first = spark.read.text(path).where("value <> ''").first()
     if first is None:
         raise ValueError(f"empty table {path}")
@@ -109,7 +109,9 @@ def read_table(spark: SparkSession, path: str, header: bool = True, sep: str = "
     n = len(names)
     rows = text.withColumn("f", F.split("value", f"\\Q{sep}\\E", -1))
     if header:
-        rows = rows.where(~((F.col("ord") == 0) & (F.col("value") == first.value)))
+        # each file's first line, if it is the header: a table may be stored in several files, a file read in several blocks
+        firsts = text.groupBy("_file").agg(F.min_by(F.struct("ord", "value"), F.struct("_block", "ord")).alias("h")).where(F.col("h.value") == first.value)
+        rows = rows.join(F.broadcast(firsts.select(F.col("h.ord").alias("_head"))), F.col("ord") == F.col("_head"), "left_anti")
     else:
         names = [f"c{i}" for i in range(1, n + 1)]
     rows = rows.where(F.when(F.size("f") == n, True).otherwise(_fail("ragged row", F.col("value"), "boolean")))

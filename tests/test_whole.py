@@ -75,3 +75,18 @@ def test_all_edits_are_spelled_out(spark):
     df = spark.createDataFrame([(1, "bed", "\t".join("a" * 300)), (2, "bed", 'a"b\t' * 150 + "c")], "line_id long, record_kind string, line string")
     for r in parse_errors.parse_lines(df).collect():
         assert r.n_edits > 100 and len(r.edits.split(",")) == r.n_edits
+
+
+def test_table_of_several_files(spark, tmp_path):
+    from spanloom.sources import sinks, text
+
+    equals_its_sql(spark, "sc20_table_all")
+    want = [("a", "b"), *((str(i), "x" * (i % 9)) for i in range(1, 400))]  # a row like the header stays
+    df = spark.createDataFrame(want, "a string, b string")
+    sinks.write_table(df.where("length(a) < 9").repartition(5), f"{tmp_path}/t")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "300b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = text.read_table(spark, f"{tmp_path}/t")
+        assert sorted(tuple(r) for r in got.drop("ord").collect()) == sorted(want)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
