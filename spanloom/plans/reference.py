@@ -565,6 +565,39 @@ def l04_liftover(spark, d):
     return alignment.liftover(b, q).select("block", "dest_start", "dest_end")
 
 
+@query(f"{with_('seqs', 'blocks', 'cells')} select block, col, name, nuc from cells")
+def l01_columns_all(spark, d):
+    b = v.blocks(spark, d)
+    every = b.groupBy("block").agg(F.max(F.length("seq")).alias("w")).select("block", F.explode(F.sequence(F.lit(1), F.col("w"))).alias("col"))
+    return alignment.columns_at(b, every).select("block", F.col("col").cast("long").alias("col"), "name", "nuc")
+
+
+@query(f"""{with_('seqs', 'blocks', 'cells')}, z as (select block, name, length(seq) as w, unnest(generate_series(0, 7)) as k from blocks), q as (select block, name, w * k // 8 + 1 as f, w * (k + 1) // 8 + 1 as t from z)
+select q.block, q.name, f as "first", min(pos) as seq_start, max(pos) + 1 as seq_end from q left join cells c on c.block = q.block and c.name = q.name and col >= f and col < t where f < t group by all""")
+def l02_column_to_sequence_all(spark, d):
+    b = v.blocks(spark, d)
+    # eighths tile each block
+    q = b.select("block", "name", F.length("seq").cast("long").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).selectExpr("block", "name", "w * k div 8 + 1 as first", "w * (k + 1) div 8 + 1 as stop").where("first < stop")
+    return alignment.column_to_sequence(b, q).select("block", "name", "first", "seq_start", "seq_end")
+
+
+_RUNS = "c as (select block, name, col, pos, col - row_number() over (partition by block, name order by col) as isl from cells where pos is not null)"
+
+
+@query(f"{with_('seqs', 'blocks', 'cells')}, {_RUNS} select block, name, min(col) as col_start, max(col) + 1 as col_end from c group by block, name, isl")
+def l03_sequence_to_columns_all(spark, d):
+    b = v.blocks(spark, d)
+    got = alignment.sequence_to_columns(b, b.select("block", "name", F.col("start").alias("first"), F.col("end").alias("stop")), trim=True)
+    return got.select("block", "name", F.col("col_start").cast("long").alias("col_start"), F.col("col_end").cast("long").alias("col_end"))
+
+
+@query(f"{with_('seqs', 'blocks', 'cells')}, {_RUNS}, l as (select c.block, c.isl, min(o.pos) as dest_start, max(o.pos) + 1 as dest_end from c join cells o on o.block = c.block and o.col = c.col and o.name = 'B.chr1' and o.pos is not null where c.name = 'A.chr1' group by all) select block, dest_start, dest_end from l")
+def l04_liftover_all(spark, d):
+    b = v.blocks(spark, d)
+    q = b.where("name = 'A.chr1'").select("block", F.lit("A.chr1").alias("origin"), F.lit("B.chr1").alias("dest"), F.col("start").alias("first"), F.col("end").alias("stop"))
+    return alignment.liftover(b, q).select("block", "dest_start", "dest_end")
+
+
 @query(f"""{with_('rois', 'occ')}, q as (select *, "start" as gs, "end" as ge, "start" - 5 + c_len % 40 as qs, "start" - 5 + c_len % 40 + 25 as qe from occ),
 z as (select *, ge - gs as n, (c_end - c_start) - (ge - gs) as d, greatest(qs - gs, 0) as a, greatest(qe - gs, 0) as b from q where qs < ge and gs < qe),
 g as (select *, greatest(n // greatest(-d, 1), 1) as gi, greatest(cast(ceil(n / greatest(d, 1)) as bigint), 1) as gd, least(b, n) as t from z),

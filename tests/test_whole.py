@@ -90,3 +90,8 @@ def test_table_of_several_files(spark, tmp_path):
         got = text.read_table(spark, f"{tmp_path}/t")
         assert sorted(tuple(r) for r in got.drop("ord").collect()) == sorted(want)
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("name", ["l01_columns_all", "l02_column_to_sequence_all", "l03_sequence_to_columns_all", "l04_liftover_all"])
+def test_whole_blocks_are_mapped(spark, name):
+    equals_its_sql(spark, name)
