@@ -1,11 +1,9 @@
-"""Evaluation texts that leaked into a corpus: MinHash containment search, verified by exact shingles in order.
+"""Evaluation texts that leaked into a corpus: containment search by all shingles, verified by their order.
 
 An item is short and a document long, so the similarity of their sets says nothing; what counts is how much of the item
-the document contains. The share of an item's smallest shingle hashes that occur in a document is an unbiased estimate of
-that containment, whatever the document's length. Items are partitioned by size: small ones keep all their shingles,
-larger ones the ``SKETCH`` smallest hashes, so the sketch stays bounded. Documents stream past the sorted sketch in one
-scan (no shuffle); a document with enough sketch hits of an item close together is a candidate, and a candidate is
-verified with all the item's shingles: they must follow the item's order nearly unbroken in one stretch or two.
+the document contains. Documents stream past the sorted shingles of all items in one scan (no shuffle); a document with
+as many shingle hits of an item as a verified case needs is a candidate, and a candidate's shingles must follow the
+item's order nearly unbroken in one stretch or two.
 
 Shingles have three words, not five, because single words of a passage may differ: at one changed word in ten, five-word
 shingles lose two fifths of the evidence, and the least passage of a short item is some 14 words.
@@ -25,10 +23,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.plain import plain, word_hashes
 
 SHINGLE = 3
-#: Shingle hashes kept of an item that has more.
+#: Shingle hashes in the sketch of an item that has more; the search does not use the sketch.
 SKETCH = 128
-#: Share of the sketch that must occur for a candidate, well under what a verified case has.
-CANDIDATE = 0.10
 #: Words of the item, as a share, that the verified stretches must span. Changed words at the passage's rims cannot be
 #: seen by shingles, so it is a little under two fifths.
 LEAST = 0.36
@@ -131,8 +127,8 @@ def covered(at: np.ndarray, place: np.ndarray, own: np.ndarray) -> int:
     return best
 
 
-def search(items: Items, texts: list[str]) -> Iterator[tuple[int, int, float]]:
-    """(text index, item index, share of the item's words) of every candidate."""
+def search(items: Items, texts: list[str], least: float = LEAST) -> Iterator[tuple[int, int, float]]:
+    """(text index, item index, share of the item's words) of every candidate; no pair with a share of ``least`` is left out."""
     words, owner = word_hashes([plain(t) for t in texts])
     if len(words) < SHINGLE or not len(items.shingle):
         return
@@ -154,13 +150,14 @@ def search(items: Items, texts: list[str]) -> Iterator[tuple[int, int, float]]:
     at = np.repeat(at, n)
     item, place = items.item[h], items.place[h]
     pair = owner[at].astype(np.int64) * len(items.ids) + item
-    # candidates: enough different sketch members
+    # candidates: enough shingle hits
     order = np.lexsort((at, pair))
-    pair, at, item, place, sketch = pair[order], at[order], item[order], place[order], items.in_sketch[h][order]
+    pair, at, item, place = pair[order], at[order], item[order], place[order]
     starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
     stops = np.r_[starts[1:], len(pair)]
-    hits = np.add.reduceat(sketch.astype(np.int64), starts)
-    for s, e in zip(starts[hits >= np.maximum(2, CANDIDATE * items.sketch_size[item[starts]])], stops[hits >= np.maximum(2, CANDIDATE * items.sketch_size[item[starts]])]):
+    # one or two stretches that span L words hold at least (L - 4) / 3 shingles, see covered()
+    enough = stops - starts >= np.maximum(2, (least * items.n_words[item[starts]] - 4) / 3 - 1e-9)
+    for s, e in zip(starts[enough], stops[enough]):
         k = int(item[s])
         yield int(owner[at[s]]), k, covered(at[s:e], place[s:e], items.own[k]) / max(1, int(items.n_words[k]))
 
@@ -176,7 +173,7 @@ def _pass(docs: DataFrame, items: Items, chars_per_batch: int, least: float) ->
             for hi, t in enumerate(texts, 1):
                 size += len(t) if t else 0
                 if size >= chars_per_batch or hi == len(texts):
-                    for d, k, share in search(its, [t or "" for t in texts[lo:hi]]):
+                    for d, k, share in search(its, [t or "" for t in texts[lo:hi]], least):
                         if share >= least:
                             out[0].append(ids[lo + d].as_py()), out[1].append(int(its.ids[k])), out[2].append(share)
                     lo, size = hi, 0

@@ -95,3 +95,16 @@ def test_table_of_several_files(spark, tmp_path):
 @pytest.mark.parametrize("name", ["l01_columns_all", "l02_column_to_sequence_all", "l03_sequence_to_columns_all", "l04_liftover_all"])
 def test_whole_blocks_are_mapped(spark, name):
     equals_its_sql(spark, name)
+
+
+def test_the_candidate_search_drops_no_verified_case():
+    from spanloom.llm import leakage
+
+    item = [f"w{i}" for i in range(1500)]
+    items = leakage.Items.of([1], [" ".join(item)])
+    # every shingle of the sketch has a changed word, most of the others have none
+    text = list(item)
+    for i in items.place[items.in_sketch].tolist():
+        text[i + 1] = f"z{i}"
+    got = list(leakage.search(items, [" ".join(text)]))
+    assert len(got) == 1 and got[0][2] >= leakage.LEAST
