@@ -5,6 +5,7 @@ Coordinate note: intervals are half-open ``[start, end)`` unless an operator say
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that count as blanks around a key or a coordinate name.
 BLANKS = " \t\r\n\x0b\x0c\u00a0\u3000\ufeff"
+#: Paths written to the shared folder, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +28,16 @@ def strip(c: Column) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one only where it names none (tests)."""
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    A session on one machine (tests) gets a temporary one where it names none; a cluster without the setting fails, as
+    executors would each write to their own disk.
+    """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="spanloom-checkpoint-")
@@ -36,17 +45,34 @@ def scratch(spark: SparkSession) -> str:
     return at
 
 
+def fresh(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, remembered for ``sweep``."""
+    at = f"{scratch(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(at)
+    return at
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back, so that its lineage ends there.
 
     Unlike ``checkpoint()``, which computes its input twice, this runs one job, keeps columns apart and survives lost
-    executors. The table stays until the folder is cleared.
+    executors. The table stays until ``sweep`` is called or the folder is cleared.
     """
-    at = f"{scratch(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    at = fresh(df.sparkSession, "cut")
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes what this application has written to the shared folder; call it once no result is read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for x in paths:
+        at = jvm.org.apache.hadoop.fs.Path(x)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def floor_div(c: Column, n: int) -> Column:
     """Integer division that rounds towards minus infinity (``div`` truncates towards zero)."""
     if n & (n - 1):

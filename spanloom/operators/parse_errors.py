@@ -1,170 +1,261 @@
-"""Rows that fail to parse: an error parse that either loads a line or says which edits it would take.
+"""Rows that fail to parse: a minimum-cost error parse that either loads a line or says which edits it would take.
 
-A line is first read without edits, by a regular expression: that plain parse, the number of fields and their types, in
-this order, decide the reason. The edits only annotate it: where the quoting is unsound, a dynamic program over the
-line's tokens (quotes, tabs and runs of anything else) finds the fewest insertions and deletions of quotes and delimiters
-by four states (field start, bare field, quoted field, after a closing quote); a wrong number of fields is noted as that
-many delimiter edits, without their places. A line with a plain parse whose fields have their types is loaded.
+A line that no edit is needed for loads if its fields have their types. Which edits the others need is found by dynamic
+programming over the line's tokens (quotes, tabs and runs of anything else). Its table has a cell for each of four states
+(field start, bare field, quoted field, after a closing quote) and each number of fields begun so far; a step inserts or
+deletes a quote or a delimiter, or takes the token as it is. Edits cost by class, and a dearer class outweighs any number
+of a cheaper one:
+
+1. quoting: a quote inserted or deleted, and a delimiter inserted next to a quote, where it only mends the quoting;
+2. column count: a delimiter inserted anywhere else, or deleted, which joins the contents of two fields;
+3. type: a field written anew as a number.
+
+The class of the dearest edit of the cheapest parse is the reason: ``quoting``, ``column_count`` or the field's name. A
+line without a quote and with a number of tabs that its kind allows is its own cheapest parse, so it never leaves the JVM;
+all others go through the program, many lines at a time.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+
+from spanloom.common import BLANKS, strip
 
 START, BARE, QUOTED, CLOSED = range(4)
+END, QUOTE, TAB, RUN = range(4)
+#: Cost of an edit of the first and of the second class; costs add up in one number.
+Q, D, NEVER = np.int64(1 << 32), np.int64(1), np.int64(1 << 60)
+TOKEN = re.compile(r'"|\t|[^"\t]+')
 FIELD = re.compile(r'"(?:[^"]+|"")*+"(?=\t|\Z)|[^"\t]*+(?=\t|\Z)')
-DIGITS = re.compile(r"[0-9]+", re.ASCII)
-DECIMAL = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", re.ASCII)
 MAX64, MAX32 = 2**63 - 1, 2**31 - 1
+#: Tokens whose tables are held at a time.
+TOKENS_PER_BATCH = 400_000
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A record kind: its number of fields and the checks of their types, in order."""
+    """A record kind: the least and the greatest number of its fields."""
 
     least: int
     most: int
-    checks: tuple = field(default=())
-
-
-def _digits(x: str, most: int) -> bool:
-    bare = x.lstrip("0")
-    return bool(DIGITS.fullmatch(x)) and len(bare) < 20 and int(bare or "0") <= most
-
-
-def _bed_start(f: list[str]) -> str | None:
-    if not _digits(f[1], MAX64):
-        return "start"
-    end = f[2].lstrip("0") if DIGITS.fullmatch(f[2]) else None
-    start = f[1].lstrip("0")
-    return "start" if end is not None and (len(start), start) > (len(end), end) else None
-
 
-def _bed_score(f: list[str]) -> str | None:
-    return "score" if len(f) > 4 and not DECIMAL.fullmatch(f[4]) else None
 
-
-def _exon_count(f: list[str]) -> str | None:
-    return None if _digits(f[1], MAX32) else "count"
-
-
-KINDS = {"bed": Kind(3, 6, (_bed_start, _bed_score)), "exon_counts": Kind(2, 2, (_exon_count,))}
-
-
-def is_record(line: str) -> bool:
-    """White space only, comments and ``track``/``browser`` lines are no records."""
-    return bool(line.strip()) and not line.startswith(("#", "track ", "browser "))
+KINDS = {"bed": Kind(3, 6), "exon_counts": Kind(2, 2)}
 
 
 def zero_cost(line: str) -> list[str] | None:
     """The fields of the parse without edits, contents without surrounding blanks; null if there is none."""
     if '"' not in line:
-        return [x.strip() for x in line.split("\t")]
+        return [x.strip(BLANKS) for x in line.split("\t")]
     fields, at = [], 0
     while True:
         m = FIELD.match(line, at)
         if not m:
             return None
         x = m.group()
-        fields.append((x[1:-1].replace('""', '"') if x[:1] == '"' else x).strip())
+        fields.append((x[1:-1].replace('""', '"') if x[:1] == '"' else x).strip(BLANKS))
         if m.end() == len(line):
             return fields
         at = m.end() + 1
 
 
-def quote_edits(line: str) -> list[str]:
-    """Fewest quote edits (with those delimiters that quotes force) that make the quoting sound, as ``op@offset``.
-
-    Tokens are quotes, tabs and runs between them, so the cost is linear in their number, not in the line's length.
+def _lower(into: np.ndarray, by: np.ndarray, cost: np.ndarray, code: int) -> None:
+    """``into`` becomes ``cost`` where that is less, and ``by`` notes the step taken."""
+    better = cost < into
+    into[better] = cost[better]
+    by[better] = code
+
+
+def _insert(c: np.ndarray, tok: np.ndarray, counted: bool) -> np.ndarray:
+    """Insertions before a token, the cheapest into each cell of ``c`` (state, fields, line); the steps taken."""
+    by = np.zeros(c.shape, np.uint8)
+    beside = np.where(tok == QUOTE, Q, D)
+    closing = np.where((tok == QUOTE) | (tok == RUN), Q, D)
+    for j in range(c.shape[1]):
+        _lower(c[QUOTED, j], by[QUOTED, j], c[START, j] + Q, 1 + START)
+        _lower(c[CLOSED, j], by[CLOSED, j], c[QUOTED, j] + Q, 1 + QUOTED)
+        k = j + 1 if counted else j
+        if k < c.shape[1]:
+            for s, cost in ((BARE, beside), (CLOSED, closing), (START, D)):
+                if counted or s != START:
+                    _lower(c[START, k], by[START, k], c[s, j] + cost, 9 + s)
+        if not counted:  # a delimiter leads back to a field's start in the same cell
+            _lower(c[QUOTED, j], by[QUOTED, j], c[START, j] + Q, 1 + START)
+    return by
+
+
+def _take(c: np.ndarray, tok: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The cells after a token, and the steps taken: state before, 4 for the next field, 8 for an edit."""
+    out, by = np.full(c.shape, NEVER), np.zeros(c.shape, np.uint8)
+    quote, tab, run = tok == QUOTE, tok == TAB, tok == RUN
+
+    def step(to: int, s: int, where: np.ndarray, cost: np.int64 | int, shift: bool = False, edit: bool = False) -> None:
+        a, b = (out[to, 1:], by[to, 1:]) if shift and counted else (out[to], by[to])
+        old = c[s, :-1] if shift and counted else c[s]
+        _lower(a, b, np.where(where, old + cost, NEVER), s | 4 * (shift and counted) | 8 * edit)
+
+    step(QUOTED, QUOTED, tab | run, 0)
+    step(QUOTED, START, quote, 0)
+    step(QUOTED, CLOSED, quote, 0)
+    step(CLOSED, QUOTED, quote, 0)
+    step(BARE, START, run, 0)
+    step(BARE, BARE, run, 0)
+    for s in (START, BARE, CLOSED):
+        step(START, s, tab, 0, shift=True)
+    for s in range(4):
+        step(s, s, quote, Q, edit=True)
+    for s in (START, BARE, CLOSED):
+        step(START, s, tab, D, edit=True)
+    return out, by
+
+
+def _trace(at: int, tokens: list[tuple[int, int]], length: int, inserted: list[np.ndarray], taken: list[np.ndarray], s: int, j: int) -> list[str]:
+    """The edits of line ``at`` that end in the cell (s, j), as ``op@offset`` in the line's order."""
+    ops: list[str] = []
+    for t in range(len(tokens), -1, -1):
+        place = tokens[t][1] if t < len(tokens) else length
+        for _ in range(64):
+            b = int(inserted[t][s, j, at])
+            if not b:
+                break
+            if b < 9:
+                ops.append(f"insert_quote@{place}")
+                s = b - 1
+            else:
+                ops.append(f"insert_delimiter@{place}")
+                s = b - 9
+                j = j - 1 if inserted[t].shape[1] > 1 else j
+        if t:
+            b = int(taken[t - 1][s, j, at])
+            if b & 8:
+                ops.append(f"delete_{'quote' if tokens[t - 1][0] == QUOTE else 'delimiter'}@{tokens[t - 1][1]}")
+            s, j = b & 3, j - 1 if b & 4 else j
+    return ops[::-1]
+
+
+def cheapest_edits(lines: list[str], least: int = 1, most: int | None = None) -> list[tuple[int, int, list[str]]]:
+    """(edits of the quoting, edits of the column count, all of them) of each line's cheapest parse.
+
+    The parse has ``least`` to ``most`` fields, any number without ``most``. The cost is linear in a line's tokens.
     """
-    tokens = [(m.start(), m.group()) for m in re.finditer(r'"|\t|[^"\t]+', line)]
-    #: state -> (cost, edits as a linked list)
-    best: dict[int, tuple[int, tuple | None]] = {START: (0, None)}
-
-    def relax(into: dict, state: int, cost: int, ops: tuple | None) -> None:
-        if state not in into or cost < into[state][0]:
-            into[state] = (cost, ops)
-
-    for at, tok in [*tokens, (len(line), "")]:
-        # insertions before the token; two rounds reach any state
-        for _ in range(2):
-            for s, (c, ops) in list(best.items()):
-                if s == START:
-                    relax(best, QUOTED, c + 1, (f"insert_quote@{at}", ops))
-                elif s == QUOTED:
-                    relax(best, CLOSED, c + 1, (f"insert_quote@{at}", ops))
-                elif s == CLOSED:
-                    relax(best, START, c + 1, (f"insert_delimiter@{at}", ops))
-                elif tok == '"':
-                    relax(best, START, c + 1, (f"insert_delimiter@{at}", ops))
-        if not tok:
-            break
-        after: dict[int, tuple[int, tuple | None]] = {}
-        for s, (c, ops) in best.items():
-            if tok == '"':
-                relax(after, s, c + 1, (f"delete_quote@{at}", ops))
-                if s in (START, CLOSED):
-                    relax(after, QUOTED, c, ops)
-                elif s == QUOTED:
-                    relax(after, CLOSED, c, ops)
-            elif tok == "\t":
-                relax(after, QUOTED if s == QUOTED else START, c, ops)
-            elif s != CLOSED:
-                relax(after, QUOTED if s == QUOTED else BARE, c, ops)
-        best = after
-    _, ops = min((best[s] for s in (START, BARE, CLOSED) if s in best), key=lambda x: x[0])
+    codes = {'"': QUOTE, "\t": TAB}
+    tokens = [[(codes.get(m[0], RUN), m.start()) for m in TOKEN.finditer(x)] for x in lines]
+    order = sorted(range(len(lines)), key=lambda i: -len(tokens[i]))
+    out: list = [None] * len(lines)
+    lo = 0
+    while lo < len(order):
+        hi = lo + max(1, TOKENS_PER_BATCH // max(1, len(tokens[order[lo]])))
+        mine = order[lo:hi]
+        lo = hi
+        for i, x in zip(mine, _cheapest([lines[i] for i in mine], [tokens[i] for i in mine], least, most)):
+            out[i] = x
+    return out
+
+
+def _cheapest(lines: list[str], tokens: list[list[tuple[int, int]]], least: int, most: int | None) -> list[tuple[int, int, list[str]]]:
+    size = np.array([len(t) for t in tokens])
+    steps = int(size[0]) if len(size) else 0
+    code = np.zeros((steps + 1, len(lines)), np.uint8)
+    for i, t in enumerate(tokens):
+        code[: len(t), i] = [x[0] for x in t]
+    c = np.full((4, most or 1, len(lines)), NEVER)
+    c[START, 0] = 0
+    inserted, taken, last = [], [], np.full(c.shape, NEVER)
+    for t in range(steps + 1):
+        here = int(np.searchsorted(-size, -t, "right"))  # lines of at least t tokens stand first
+        c = c[:, :, :here]
+        inserted.append(_insert(c, code[t, :here], most is not None))
+        ended = int(np.searchsorted(-size, -t - 1, "right"))
+        last[:, :, ended:here] = c[:, :, ended:]
+        if t < steps:
+            c, by = _take(c[:, :, :ended], code[t, :ended], most is not None)
+            taken.append(by)
+    states = (START, BARE, CLOSED)
+    ends = last[states, (least - 1 if most else 0) :]
+    flat = ends.reshape(-1, len(lines))
+    best = flat.argmin(0)
+    cost = flat[best, np.arange(len(lines))]
     out = []
-    while ops:
-        out.append(ops[0])
-        ops = ops[1]
-    return out[::-1]
-
-
-def parse_line(kind: str | None, line: str | None) -> tuple[str | None, list[str], list[str] | None]:
-    """(reason, edits, fields): reason null and fields given for a loaded line; all null for what is no record."""
-    if line is None or kind not in KINDS:
-        return None, [], None
-    line = line[:-1] if line.endswith("\r") else line
-    if not is_record(line):
-        return None, [], None
-    k, fields = KINDS[kind], zero_cost(line)
-    if fields is None:
-        return "quoting", quote_edits(line), None
-    n = len(fields)
-    if not k.least <= n <= k.most:
-        return "column_count", ["insert_delimiter"] * (k.least - n) or ["delete_delimiter"] * (n - k.most), None
-    for check in k.checks:
-        if bad := check(fields):
-            return bad, [f"retype_{bad}"], None
-    return None, [], fields
-
-
-SCHEMA = "line_id long, record_kind string, reason string, n_edits int, edits string, fields array<string>"
+    for i, (b, x) in enumerate(zip(best.tolist(), cost.tolist())):
+        s, j = states[b // ends.shape[1]], b % ends.shape[1] + (least - 1 if most else 0)
+        out.append((x >> 32, x & 0xFFFFFFFF, _trace(i, tokens[i], len(lines[i]), inserted, taken, s, j) if x else []))
+    return out
 
 
-def parse_lines(df: DataFrame) -> DataFrame:
-    """Every record line of ``df`` (line_id, record_kind, line) with its fields, or its reason and the edits it would take.
+PARSED = StructType().add("quoting", LongType()).add("columns", LongType()).add("edits", ArrayType(StringType())).add("fields", ArrayType(StringType()))
 
-    Lines that are no records (blank, comment, ``track``, ``browser``) and null lines give no row; so do kinds other than
-    those of ``KINDS``. Very long lines are read whole. Each row is judged alone: no shuffle, no state. All edits are
-    spelled out.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, k, x in zip(b["line_id"], b["record_kind"], b["line"]):
-                reason, edits, fields = parse_line(k, x)
-                if reason is not None or fields is not None:
-                    rows.append((i, k, reason, len(edits), ",".join(edits), fields))
-            yield pd.DataFrame(rows, columns=["line_id", "record_kind", "reason", "n_edits", "edits", "fields"])
+def quote_edits(line: str) -> list[str]:
+    """The cheapest edits that make the quoting sound, whatever the number of fields, as ``op@offset``."""
+    return cheapest_edits([line])[0][2]
+
+
+@F.pandas_udf(PARSED)
+def error_parse(line: pd.Series, least: pd.Series, most: pd.Series) -> pd.DataFrame:
+    """Edits of the cheapest parse of each line, by class, and its fields if there are none; nulls for a null line."""
+    out: list[tuple] = [(None, None, None, None)] * len(line)
+    for (lo, hi), rows in pd.DataFrame({"lo": least, "hi": most})[line.notna()].groupby(["lo", "hi"]).groups.items():
+        texts = [line[i] for i in rows]
+        for i, x, (q, d, ops) in zip(rows, texts, cheapest_edits(texts, int(lo), int(hi))):
+            out[i] = (q, d, ops, None if ops else zero_cost(x))
+    return pd.DataFrame(out, columns=["quoting", "columns", "edits", "fields"], dtype=object)
+
+
+def _bare(c: Column) -> Column:
+    """ASCII digits without leading zeros; null for anything else."""
+    return F.when(c.rlike(r"\A[0-9]+\z"), F.regexp_replace(c, r"\A0+(?=[0-9])", ""))
+
 
-    return df.select("line_id", "record_kind", "line").mapInPandas(run, SCHEMA)
+def _more(a: Column, b: Column) -> Column:
+    """The bare number ``a`` is greater than ``b``."""
+    return (F.length(a) > F.length(b)) | ((F.length(a) == F.length(b)) & (a > b))
+
+
+def _type_error(kind: Column, f: Column) -> Column:
+    """The first field without its type; null if all have theirs."""
+    start, end, score, count = _bare(F.get(f, F.lit(1))), _bare(F.get(f, F.lit(2))), F.get(f, F.lit(4)), _bare(F.get(f, F.lit(1)))
+    bad_start = start.isNull() | _more(start, F.lit(str(MAX64))) | F.coalesce(_more(start, end), F.lit(False))
+    bad_score = (F.size(f) > 4) & ~score.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z")
+    bad_count = count.isNull() | _more(count, F.lit(str(MAX32)))
+    bed = F.when(bad_start, "start").when(bad_score, "score")
+    return F.when(kind == "bed", bed).when(bad_count, "count")
+
+
+def parse_lines(df: DataFrame) -> DataFrame:
+    """Every record line of ``df`` (line_id, record_kind, line): line_id, record_kind, reason, n_edits, edits, fields.
+
+    ``fields`` is given for a loaded line, whose reason is null; else ``reason`` and ``edits`` (all of them, joined by
+    commas) are. Lines that are no records (blank, comment, ``track``, ``browser``) and null lines give no row; so do kinds
+    other than those of ``KINDS``. One carriage return at the end isn't part of a line. Very long lines are read whole.
+    Repeated rows are each judged. Each row is judged alone: no shuffle, no state.
+    """
+    kind, x = F.col("record_kind"), F.col("line")
+    rows = df.where(kind.isin(*KINDS) & x.isNotNull()).select("line_id", "record_kind", F.regexp_replace(x, r"\r\z", "").alias("line"))
+    rows = rows.where((strip(x) != "") & ~(x.startswith("#") | x.startswith("track ") | x.startswith("browser ")))
+
+    def per_kind(what: str) -> Column:
+        out = F.lit(None).cast("int")
+        for name, k in KINDS.items():
+            out = F.when(kind == name, getattr(k, what)).otherwise(out)
+        return out
+
+    plain = ~F.contains(x, F.lit('"')) & F.size(F.split(x, "\t")).between(per_kind("least"), per_kind("most"))
+    rows = rows.withColumn("p", error_parse(F.when(~plain, x), per_kind("least"), per_kind("most")))
+    fields = F.when(F.col("p.quoting").isNull(), F.transform(F.split(x, "\t"), strip)).otherwise(F.col("p.fields"))
+    rows = rows.select("line_id", "record_kind", "p", fields.alias("fields"))
+    wrong = F.when(F.col("p.quoting") > 0, "quoting").when(F.col("p.columns") > 0, "column_count")
+    rows = rows.withColumn("_type", F.when(F.col("fields").isNotNull(), _type_error(kind, F.col("fields"))))
+    reason = F.coalesce(wrong, F.col("_type"))
+    edits = F.when(F.col("_type").isNotNull(), F.concat(F.lit("retype_"), F.col("_type"))).otherwise(F.array_join("p.edits", ","))
+    n = F.when(F.col("_type").isNotNull(), 1).otherwise(F.coalesce(F.size("p.edits"), F.lit(0)))
+    return rows.select("line_id", "record_kind", reason.alias("reason"), n.cast("int").alias("n_edits"), F.coalesce(edits, F.lit("")).alias("edits"), F.when(reason.isNull(), F.col("fields")).alias("fields"))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

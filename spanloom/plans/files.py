@@ -5,13 +5,12 @@ Files go to the folder all executors share (``spark.checkpoint.dir``), as the re
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.common import scratch, table
+from spanloom.common import fresh, table
 from spanloom.plans import views as v
 from spanloom.plans.views import with_
 from spanloom.sources import blocks, sinks, text
@@ -30,7 +29,7 @@ def query(sql: str):
 
 
 def _stored(spark: SparkSession, df: DataFrame, kind: str) -> str:
-    at = f"{scratch(spark)}/{kind}-{uuid.uuid4().hex}"
+    at = fresh(spark, kind)
     sinks.write_text(df, at)
     return at
 
@@ -72,14 +71,14 @@ def sc12_maf(spark, d):
 
 @query("select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation")
 def sc20_table(spark, d):
-    at = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
+    at = fresh(spark, "table")
     sinks.write_table(table(spark, d, "nation").coalesce(1), at)
     return text.read_table(spark, at).drop("ord")
 
 
 @query("select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, o_orderstatus from orders")
 def sc20_table_all(spark, d):
-    at = f"{scratch(spark)}/table-{uuid.uuid4().hex}"
+    at = fresh(spark, "table")
     sinks.write_table(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(3), at)
     return text.read_table(spark, at).drop("ord")
 

@@ -81,46 +81,84 @@ def test_orphans_stay_exact_with_a_filter_that_is_far_too_small(spark, monkeypat
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize(
-    ("kind", "line", "reason"),
-    [
-        ("bed", "chr1\t1\t2", None),
-        ("bed", "chr1\t1\t2\r", None),
-        ("bed", "chr1\t 1 \t2\tn\t.5\t+", None),
-        ("bed", "chr1\t1", "column_count"),
-        ("bed", "chr1\t1\t2\tn\t5\t+\tx", "column_count"),
-        ("bed", 'chr1\t1\t2\t"a\tb ""q"""\t5', None),
-        ("bed", 'chr1\t1\t2\t"a', "quoting"),
-        ("bed", 'chr1\t1\t2\t"a"b\t5', "quoting"),
-        ("bed", 'chr1\t1\t2\t"a" \t5', "quoting"),
-        ("bed", 'chr1\t1\t2\ta"b\t5', "quoting"),
-        ("bed", 'chr1 "', "quoting"),
-        ("bed", "chr1\t+1\t2", "start"),
-        ("bed", "chr1\t３\t4", "start"),
-        ("bed", "chr1\t9223372036854775808\t9223372036854775809", "start"),
-        ("bed", "chr1\t9223372036854775807\t9223372036854775809", None),
-        ("bed", "chr1\t0009\t8", "start"),
-        ("bed", "chr1\t3\tend", None),
-        ("bed", "chr1\t1\t2\tn\t1e", "score"),
-        ("bed", "chr1\t1\t2\tn\t", "score"),
-        ("bed", "chr1\t1\t2\tn\t-1.5E+3", None),
-        ("bed", "chr1\tx\t2\tn\tbad", "start"),
-        ("exon_counts", "n\t5", None),
-        ("exon_counts", "n\t2147483648", "count"),
-        ("exon_counts", "n\t-1", "count"),
-        ("exon_counts", 'n\t"7"', None),
-        ("exon_counts", "n\t5\t5", "column_count"),
-        ("exon_counts", "", None),
-        ("exon_counts", " \t ", None),
-        ("bed", "#x\ty", None),
-        ("bed", "track name", None),
-        ("bed", "tracks", "column_count"),
-        (None, "x", None),
-        ("bed", None, None),
-    ],
-)
-def test_reasons(kind, line, reason):
-    assert parse_errors.parse_line(kind, line)[0] == reason
+REASONS = [
+    ("bed", "chr1\t1\t2", None),
+    ("bed", "chr1\t1\t2\r", None),
+    ("bed", "chr1\t 1 \t2\tn\t.5\t+", None),
+    ("bed", "chr1\t1", "column_count"),
+    ("bed", "chr1\t1\t2\tn\t5\t+\tx", "column_count"),
+    ("bed", 'chr1\t1\t2\t"a\tb ""q"""\t5', None),
+    ("bed", 'chr1\t1\t2\t"a', "quoting"),
+    ("bed", 'chr1\t1\t2\t"a"b\t5', "quoting"),
+    ("bed", 'chr1\t1\t2\t"a" \t5', "quoting"),
+    ("bed", 'chr1\t1\t2\ta"b\t5', "quoting"),
+    ("bed", 'chr1 "', "quoting"),
+    ("bed", "chr1\t+1\t2", "start"),
+    ("bed", "chr1\t３\t4", "start"),
+    ("bed", "chr1\t9223372036854775808\t9223372036854775809", "start"),
+    ("bed", "chr1\t9223372036854775807\t9223372036854775809", None),
+    ("bed", "chr1\t0009\t8", "start"),
+    ("bed", "chr1\t3\tend", None),
+    ("bed", "chr1\t1\t2\tn\t1e", "score"),
+    ("bed", "chr1\t1\t2\tn\t", "score"),
+    ("bed", "chr1\t1\t2\tn\t-1.5E+3", None),
+    ("bed", "chr1\tx\t2\tn\tbad", "start"),
+    ("exon_counts", "n\t5", None),
+    ("exon_counts", "n\t2147483648", "count"),
+    ("exon_counts", "n\t-1", "count"),
+    ("exon_counts", 'n\t"7"', None),
+    ("exon_counts", "n\t5\t5", "column_count"),
+    ("exon_counts", "", None),
+    ("exon_counts", " \t ", None),
+    ("bed", "#x\ty", None),
+    ("bed", "track name", None),
+    ("bed", "tracks", "column_count"),
+    (None, "x", None),
+    ("bed", None, None),
+]
+
+
+def test_reasons(spark):
+    df = spark.createDataFrame([(i, k, x) for i, (k, x, _) in enumerate(REASONS)], "line_id long, record_kind string, line string")
+    got = {r.line_id: r for r in parse_errors.parse_lines(df).collect()}
+    for i, (kind, line, reason) in enumerate(REASONS):
+        record = kind and line and line.strip() and not line.startswith(("#", "track "))
+        assert (got[i].reason if i in got else None) == reason and (i in got) == bool(record), (line, got.get(i))
+        if record:
+            assert (got[i].n_edits > 0) == (reason is not None) == (got[i].fields is None)
+
+
+def test_the_dearest_class_of_the_cheapest_edits_is_the_reason():
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choice('""\t\tab ') for _ in range(rnd.randrange(0, 14))) for _ in range(4000)]
+    for least, most in ((3, 6), (2, 2), (1, 1)):
+        for line, (q, d, ops) in zip(lines, parse_errors.cheapest_edits(lines, least, most)):
+            fields = parse_errors.zero_cost(line)
+            assert (q > 0) == (fields is None), line
+            assert q + d == len(ops)
+            if fields is not None:
+                assert d == max(least - len(fields), len(fields) - most, 0), line
+                assert all("delimiter" in x for x in ops)
+
+
+def test_fewest_edits_against_a_search_of_all_edits():
+    def near(line):
+        for i in range(len(line) + 1):
+            yield line[:i] + '"' + line[i:]
+            yield line[:i] + "\t" + line[i:]
+            if line[i : i + 1] == '"':
+                yield line[:i] + line[i + 1 :]
+
+    rnd = random.Random(9)
+    for _ in range(300):
+        line = "".join(rnd.choice('"\ta') for _ in range(rnd.randrange(1, 8)))
+        best, seen, front = 0, {line}, [line]
+        while not any(parse_errors.zero_cost(x) is not None for x in front):
+            front = [y for x in front for y in near(x) if y not in seen]
+            seen.update(front)
+            best += 1
+        q, d, _ = parse_errors.cheapest_edits([line])[0]
+        assert (q, d) == (best, 0), line
 
 
 def test_quote_edits_repair_the_line():
@@ -139,7 +177,7 @@ def test_quote_edits_repair_the_line():
             assert edits
             assert parse_errors.zero_cost(apply(line, edits)) is not None, (line, edits)
     assert parse_errors.quote_edits('a\t"b') in (["delete_quote@2"], ["insert_quote@4"])
-    long = 'x"' * 20000
+    long = 'x"' * 5000
     assert len(parse_errors.quote_edits(long)) > 0
 
 
@@ -183,6 +221,15 @@ def test_periods_across_slices(spark, width):
     assert got == brute_periods(items)
 
 
+def test_long_intervals_and_small_maps(spark, monkeypatch):
+    monkeypatch.setattr(covered, "MOST_SLICES", 64)
+    monkeypatch.setattr(covered, "HELD", 20)
+    rnd = random.Random(8)
+    items = [("a", 0, 1 << 40), ("b", -(1 << 50), 5), ("b", 1 << 50, (1 << 50) + 1)] + [("c", s, s + rnd.randrange(1, 90)) for s in (rnd.randrange(5000) for _ in range(400))]
+    df = spark.createDataFrame(items, "k string, start long, end long")
+    assert sorted((tuple(r) for r in covered.periods_and_gaps(df, ["k"], width=8).collect()), key=str) == brute_periods(items)
+
+
 def test_interval_map_against_a_bit_set():
     rnd = random.Random(5)
     for _ in range(200):
