@@ -73,6 +73,11 @@ def sweep(spark: SparkSession) -> int:
     return len(paths)
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with further columns, each evaluated once a row: neither filters nor projections merge past a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
 def floor_div(c: Column, n: int) -> Column:
     """Integer division that rounds towards minus infinity (``div`` truncates towards zero)."""
     if n & (n - 1):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from spanloom.common import BLANKS, strip
+from spanloom.common import BLANKS, once, strip
 
 START, BARE, QUOTED, CLOSED = range(4)
 END, QUOTE, TAB, RUN = range(4)
@@ -218,14 +218,12 @@ def _more(a: Column, b: Column) -> Column:
     return (F.length(a) > F.length(b)) | ((F.length(a) == F.length(b)) & (a > b))
 
 
-def _type_error(kind: Column, f: Column) -> Column:
-    """The first field without its type; null if all have theirs."""
-    start, end, score, count = _bare(F.get(f, F.lit(1))), _bare(F.get(f, F.lit(2))), F.get(f, F.lit(4)), _bare(F.get(f, F.lit(1)))
+def _type_error(kind: Column, f: Column, start: Column, end: Column) -> Column:
+    """The first field without its type; null if all have theirs. ``start``, ``end``: the bare second and third field."""
     bad_start = start.isNull() | _more(start, F.lit(str(MAX64))) | F.coalesce(_more(start, end), F.lit(False))
-    bad_score = (F.size(f) > 4) & ~score.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z")
-    bad_count = count.isNull() | _more(count, F.lit(str(MAX32)))
+    bad_score = (F.size(f) > 4) & ~F.get(f, F.lit(4)).rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z")
     bed = F.when(bad_start, "start").when(bad_score, "score")
-    return F.when(kind == "bed", bed).when(bad_count, "count")
+    return F.when(kind == "bed", bed).when(start.isNull() | _more(start, F.lit(str(MAX32))), "count")
 
 
 def parse_lines(df: DataFrame) -> DataFrame:
@@ -237,7 +235,7 @@ def parse_lines(df: DataFrame) -> DataFrame:
     Repeated rows are each judged. Each row is judged alone: no shuffle, no state.
     """
     kind, x = F.col("record_kind"), F.col("line")
-    rows = df.where(kind.isin(*KINDS) & x.isNotNull()).select("line_id", "record_kind", F.regexp_replace(x, r"\r\z", "").alias("line"))
+    rows = once(df.where(kind.isin(*KINDS) & x.isNotNull()).select("line_id", "record_kind", F.col("line").alias("_raw")), line=F.when(F.endswith("_raw", F.lit("\r")), F.left("_raw", F.length("_raw") - 1)).otherwise(F.col("_raw")))
     rows = rows.where((strip(x) != "") & ~(x.startswith("#") | x.startswith("track ") | x.startswith("browser ")))
 
     def per_kind(what: str) -> Column:
@@ -248,14 +246,14 @@ def parse_lines(df: DataFrame) -> DataFrame:
 
     plain = ~F.contains(x, F.lit('"')) & F.size(F.split(x, "\t")).between(per_kind("least"), per_kind("most"))
     rows = rows.withColumn("p", error_parse(F.when(~plain, x), per_kind("least"), per_kind("most")))
-    fields = F.when(F.col("p.quoting").isNull(), F.transform(F.split(x, "\t"), strip)).otherwise(F.col("p.fields"))
-    rows = rows.select("line_id", "record_kind", "p", fields.alias("fields"))
-    wrong = F.when(F.col("p.quoting") > 0, "quoting").when(F.col("p.columns") > 0, "column_count")
-    rows = rows.withColumn("_type", F.when(F.col("fields").isNotNull(), _type_error(kind, F.col("fields"))))
-    reason = F.coalesce(wrong, F.col("_type"))
-    edits = F.when(F.col("_type").isNotNull(), F.concat(F.lit("retype_"), F.col("_type"))).otherwise(F.array_join("p.edits", ","))
-    n = F.when(F.col("_type").isNotNull(), 1).otherwise(F.coalesce(F.size("p.edits"), F.lit(0)))
-    return rows.select("line_id", "record_kind", reason.alias("reason"), n.cast("int").alias("n_edits"), F.coalesce(edits, F.lit("")).alias("edits"), F.when(reason.isNull(), F.col("fields")).alias("fields"))
+    rows = once(rows, f=F.when(F.col("p.quoting").isNull(), F.transform(F.split(x, "\t"), strip)).otherwise(F.col("p.fields")), q=F.col("p.quoting"), d=F.col("p.columns"), ops=F.col("p.edits"))
+    # a second field is a BED line's start and an exon line's count
+    rows = once(rows, second=_bare(F.get("f", F.lit(1))), third=_bare(F.get("f", F.lit(2))))
+    rows = once(rows, wrong=F.when(F.col("f").isNotNull(), _type_error(kind, F.col("f"), F.col("second"), F.col("third"))))
+    reason = F.when(F.col("q") > 0, "quoting").when(F.col("d") > 0, "column_count").otherwise(F.col("wrong"))
+    edits = F.when(F.col("wrong").isNotNull(), F.concat(F.lit("retype_"), "wrong")).otherwise(F.coalesce(F.array_join("ops", ","), F.lit("")))
+    n = F.when(F.col("wrong").isNotNull(), 1).otherwise(F.coalesce(F.size("ops"), F.lit(0)))
+    return rows.select("line_id", "record_kind", reason.alias("reason"), n.cast("int").alias("n_edits"), edits.alias("edits"), F.when(reason.isNull(), F.col("f")).alias("fields"))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
