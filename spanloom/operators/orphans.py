@@ -6,10 +6,10 @@
    filter's size follows the number of distinct keys up to ``max_pages`` (64 MB at most), so what is broadcast is
    bounded; beyond that bound it only grows less selective, the result stays exact.
 2. A reference whose bits are not all set has no parent at any time: a definite orphan, found without a shuffle.
-3. Only filter-positive references are verified. Parents and references are laid on one time line per key, and a running
-   maximum of ``deleted_at`` over the parents loaded so far says whether one is alive. The time line is cut into slices
-   (a day by default) whose carry-in is computed from one row per key and slice, so that a key with a third of all rows
-   spreads over as many tasks as it has days.
+3. Only filter-positive references are verified, by an exact join. Parents become one row per key and time slice (a day
+   by default): the moments at which rows were loaded in it with their ends, and the furthest end handed over from the
+   slices before. A reference meets the row of its own key and slice, so each has one partner at most; keys and slices
+   with very many references are salted, their one row repeated per salt.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.common import strip
+from spanloom.common import cut, once, strip
 
 WORDS = 16
 MIN_PAGES, MAX_PAGES = 1 << 8, 1 << 19
@@ -73,7 +73,7 @@ class Bloom:
         return out.withColumn(into, F.coalesce(have == F.col("bloom_mask"), F.lit(False))).drop("bloom_page", "bloom_mask", "bloom_word", "bloom_words")
 
 
-def find_orphans(refs: DataFrame, parents: DataFrame, slice_unit: str = "day", max_pages: int = MAX_PAGES) -> DataFrame:
+def find_orphans(refs: DataFrame, parents: DataFrame, slice_unit: str = "day", max_pages: int = MAX_PAGES, rows_per_task: int = 2_000_000) -> DataFrame:
     """Orphans of ``refs`` (src_table, row_id, ref, loaded_at) among ``parents`` (name, loaded_at, deleted_at).
 
     Returns src_table, row_id, period (``YYYY-MM`` of loaded_at), cause: ``missing`` if no parent row has the key at any
@@ -81,36 +81,43 @@ def find_orphans(refs: DataFrame, parents: DataFrame, slice_unit: str = "day", m
 
     Null and blank references refer to nothing. Null or blank parent keys match nothing; a parent without loaded_at never
     counts as loaded, yet its key is known. A reference without loaded_at is reported only if its key is missing, with a
-    null period. Repeated rows are each reported. Empty tables give an empty result or only ``missing``.
+    null period. Repeated rows are each reported. Empty tables give an empty result or only ``missing``. A key's distinct
+    load moments within one slice stand in one array; all else is spread by key, slice and salt.
     """
     never = F.lit(NEVER).cast("timestamp_ntz" if dict(parents.dtypes)["loaded_at"] == "timestamp_ntz" else "timestamp")
-    keyed = refs.select("src_table", "row_id", reference_key(F.col("ref")).alias("key"), F.col("loaded_at").alias("t")).where(F.col("key").isNotNull())
-    par = parents.select(reference_key(F.col("name")).alias("key"), F.col("loaded_at").alias("t"), F.coalesce("deleted_at", never).alias("until")).where(F.col("key").isNotNull())
+    keyed = once(refs.select("src_table", "row_id", "ref", F.col("loaded_at").alias("t")), key=reference_key(F.col("ref"))).drop("ref").where("key is not null")
+    par = once(parents.select("name", F.col("loaded_at").alias("t"), F.coalesce("deleted_at", never).alias("until")), key=reference_key(F.col("name"))).where("key is not null")
+    par = par.groupBy("key", "t").agg(F.max("until").alias("until"))
+    # the parents' keys are read for the filter's size, its bits and the check, so they are written once
+    par = cut(par.withColumn("slice", F.date_trunc(slice_unit, "t")))
     probed = Bloom.of(par.select("key"), "key", max_pages=max_pages).probe(keyed, "key", "maybe")
-
-    def sliced(df: DataFrame) -> DataFrame:
-        return df.withColumn("slice", F.date_trunc(slice_unit, "t"))
-
     definite = probed.where(~F.col("maybe")).select("src_table", "row_id", "t", F.lit("missing").alias("cause"))
-    child = sliced(probed.where("maybe").drop("maybe"))
-    par = sliced(par.groupBy("key", "t").agg(F.max("until").alias("until")))
-    # one row per key and slice: what the slices before it hand over
-    marks = child.select("key", "slice", F.lit(None).cast(par.schema["until"].dataType).alias("until"), F.lit(False).alias("known"), F.lit(True).alias("asked"))
-    marks = marks.union(par.select("key", "slice", F.when(F.col("t").isNotNull(), F.col("until")), F.lit(True), F.lit(False)))
-    marks = marks.groupBy("key", "slice").agg(F.max("until").alias("until"), F.max("known").alias("known"), F.max("asked").alias("asked"))
+    child = probed.where("maybe").drop("maybe").withColumn("slice", F.date_trunc(slice_unit, "t"))
+
+    kind = par.schema["until"].dataType
+    loads = par.groupBy("key", "slice").agg(F.max(F.when(F.col("t").isNotNull(), F.col("until"))).alias("last"), F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "until"))).alias("loads"))
+    asked = child.groupBy("key", "slice").agg(F.count("*").alias("n"))
+    both = loads.select("key", "slice", "last", "loads", F.lit(True).alias("known"), F.lit(0).cast("long").alias("n"))
+    both = both.unionByName(asked.select("key", "slice", F.lit(None).cast(kind).alias("last"), F.lit(None).cast(loads.schema["loads"].dataType).alias("loads"), F.lit(False).alias("known"), "n"))
+    both = both.groupBy("key", "slice").agg(F.max("last").alias("last"), F.first("loads", ignorenulls=True).alias("loads"), F.max("known").alias("known"), F.sum("n").alias("n"))
     by_key = Window.partitionBy("key")
     before = by_key.orderBy(F.col("slice").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    marks = marks.withColumns({"until": F.max("until").over(before), "known": F.max("known").over(by_key)}).where("asked")
-    nothing = {"src_table": F.lit(None).cast("string"), "row_id": F.lit(None).cast("long"), "known": F.lit(False), "until": F.lit(None).cast(par.schema["until"].dataType)}
-    cols = ["key", "slice", "t", "src_table", "row_id", "until", "known"]
-    line = child.withColumns({k: nothing[k] for k in ("until", "known")}).select(*cols, F.lit(True).alias("is_ref"))
-    line = line.unionByName(marks.withColumns({"t": F.col("slice"), "src_table": nothing["src_table"], "row_id": nothing["row_id"]}).select(*cols, F.lit(False).alias("is_ref")))
-    line = line.unionByName(par.where(F.col("t").isNotNull()).withColumns({k: nothing[k] for k in ("src_table", "row_id", "known")}).select(*cols, F.lit(False).alias("is_ref")))
-    in_slice = Window.partitionBy("key", "slice")
-    upto = in_slice.orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    checked = line.withColumns({"alive_until": F.max("until").over(upto), "known": F.max("known").over(in_slice)}).where("is_ref")
+    marks = both.select("key", "slice", "loads", "n", F.max("last").over(before).alias("before"), F.max("known").over(by_key).alias("known")).where("n > 0")
+    marks = cut(marks.withColumn("salts", F.ceil(F.col("n") / rows_per_task).cast("int")))
+    # as many entries as there are references over rows_per_task, at most
+    heavy = marks.where("salts > 1").select(F.col("key").alias("_hk"), F.col("slice").alias("_hs"), "salts")
+    if heavy.isEmpty():
+        child, marks = child.withColumn("salt", F.lit(0)), marks.withColumn("salt", F.lit(0))
+    else:
+        child = child.join(F.broadcast(heavy), (F.col("key") == F.col("_hk")) & F.col("slice").eqNullSafe(F.col("_hs")), "left")
+        child = child.withColumn("salt", F.pmod(F.xxhash64("row_id", "src_table"), F.coalesce("salts", F.lit(1))).cast("int")).drop("_hk", "_hs", "salts")
+        marks = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    marks = marks.select(F.col("key").alias("_mk"), F.col("slice").alias("_ms"), F.col("salt").alias("_msalt"), "loads", "before", "known")
+    pairs = child.join(marks, (F.col("key") == F.col("_mk")) & F.col("slice").eqNullSafe(F.col("_ms")) & (F.col("salt") == F.col("_msalt")))
+    so_far = F.array_max(F.transform(F.filter("loads", lambda x: x["t"] <= F.col("t")), lambda x: x["until"]))
+    checked = pairs.select("src_table", "row_id", "t", "known", F.greatest("before", so_far).alias("alive_until"))
     cause = F.when(~F.col("known"), "missing").when(F.col("t").isNull(), None).when(F.col("alive_until").isNull(), "late").when(F.col("alive_until") <= F.col("t"), "deleted")
-    verified = checked.select("src_table", "row_id", "t", cause.alias("cause")).where(F.col("cause").isNotNull())
+    verified = once(checked, cause=cause).where("cause is not null").select("src_table", "row_id", "t", "cause")
     return definite.union(verified).select("src_table", "row_id", F.date_format("t", "yyyy-MM").alias("period"), "cause")
 
 

@@ -77,8 +77,9 @@ def test_orphans_stay_exact_with_a_filter_that_is_far_too_small(spark, monkeypat
         elif not any(a <= at and (b is None or b > at) for a, b in have):
             want.append((s, i, "2024-03", "deleted" if any(a <= at for a, _ in have) else "late"))
     monkeypatch.setattr(orphans, "MIN_PAGES", 1)
-    got = rows(orphans.find_orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(genes, GENES), max_pages=2))
-    assert got == sorted(want)
+    for rows_per_task in (2_000_000, 10):  # with and without salt
+        got = rows(orphans.find_orphans(spark.createDataFrame(refs, REFS), spark.createDataFrame(genes, GENES), max_pages=2, rows_per_task=rows_per_task))
+        assert got == sorted(want)
 
 
 REASONS = [
