@@ -1,13 +1,16 @@
 """Functions of nucleotide sequences and of reads with qualities, as columns.
 
-Sequences are strings with ``-`` for gaps; positions are as each function says. All are built-in expressions, so they
-stay inside code generation; nulls give null.
+Sequences are strings with ``-`` for gaps; positions are as each function says. All are built-in expressions that
+stay inside code generation, but for the search of an adaptor, which compares whole Arrow batches; nulls give null.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Complements, both cases; N stays N.
 DNA, DNA_C = "ACGTNacgtn", "TGCANtgcan"
@@ -144,28 +147,47 @@ def mask_match(seq: Column | str, mask: Column | str) -> Column:
     return F.when(F.length(m) == 0, F.lit(True)).when(F.length(m) > F.length(s), F.lit(False)).otherwise(F.forall(pairs, lambda v: F.coalesce(v, F.lit(False))))
 
 
-def _clip_start(seq: Column, adaptor: Column, matches: Column) -> Column:
-    """Index (may be negative) of the adaptor window found first from the right; null if there is none."""
-    n, k = F.length(seq), F.length(adaptor)
+def clip_starts(seqs: list[str], adaptor: str, matches: np.ndarray) -> np.ndarray:
+    """Per sequence the index (may be negative) of the rightmost adaptor window with so many equal symbols; -k if there is none.
 
-    def hits(i: Column) -> Column:
-        a = F.greatest(i, F.lit(0))
-        x = F.substring(seq, a + 1, F.least(i + k, n) - a)
-        y = F.substring(adaptor, a - i + 1, F.length(x))
-        return F.when(F.length(x) == 0, F.lit(0)).otherwise(F.size(F.filter(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: p == q), lambda v: v)))
-
-    # windows wholly inside come first, from the right; then those that hang over the 5' end need all their symbols
-    inside = F.when(n >= k, F.filter(F.sequence(n - k, F.lit(0), F.lit(-1)), lambda i: hits(i) >= matches))
-    over = F.filter(F.sequence(F.lit(-1), F.least(F.lit(-1), 1 - k), F.lit(-1)), lambda i: hits(i) >= F.least(matches, i + k))
-    over = F.filter(over, lambda i: (i + k) >= matches)
-    return F.coalesce(F.get(inside, F.lit(0)), F.get(over, F.lit(0)))
+    Windows lie inside the sequence or hang over its 5' end. All sequences stand in one flat array, so the work is one
+    comparison of whole arrays per symbol of the adaptor.
+    """
+    k = len(adaptor)
+    size = np.array([len(s) for s in seqs], np.int64)
+    if k == 0 or not len(seqs):
+        return np.where(matches <= 0, size, -k)
+    # k - 1 blanks before each sequence, k after it
+    flat = np.frombuffer("".join("\0" * (k - 1) + s + "\0" * k for s in seqs).encode("utf-32-le"), np.uint32)
+    begin = np.cumsum(size + 2 * k - 1) - (size + 2 * k - 1)
+    hits = np.zeros(len(flat) - k + 1, np.int32)
+    for j, c in enumerate(adaptor):
+        hits += flat[j : j + len(hits)] == ord(c)
+    row = np.repeat(np.arange(len(seqs)), size + 2 * k - 1)[: len(hits)]
+    i = np.arange(len(hits)) - begin[row] - (k - 1)
+    good = np.flatnonzero((hits >= matches[row]) & (i <= np.maximum(size - k, -1)[row]))
+    out = np.full(len(seqs), -k)
+    np.maximum.at(out, row[good], i[good])
+    return out
+
+
+@F.pandas_udf(LongType())
+def _clip_start(seq: pd.Series, adaptor: pd.Series, matches: pd.Series) -> pd.Series:
+    """``clip_starts`` over a batch, by adaptor; null where there is no window or an argument is null."""
+    out = pd.Series([None] * len(seq), dtype="Int64")
+    have = seq.notna() & adaptor.notna() & matches.notna()
+    for a, rows in adaptor[have].groupby(adaptor[have]).groups.items():
+        at = clip_starts(seq[rows].tolist(), a, matches[rows].to_numpy(np.int64))
+        out[rows] = pd.array(at, "Int64")
+        out[rows[at == -len(a)]] = pd.NA
+    return out
 
 
 def clip_end(seq: Column | str, adaptor: Column | str, matches: Column | int) -> Column:
     """N from the adaptor's place to the end: the first window from the right with that many equal symbols."""
     s, a = _s(seq), _s(adaptor)
     at = _clip_start(s, a, _n(matches))
-    keep = F.greatest(at, F.lit(0))
+    keep = F.greatest(at, F.lit(0)).cast("int")
     return F.when(at.isNull(), s).otherwise(F.concat(F.substring(s, F.lit(1), keep), F.repeat(F.lit("N"), F.length(s) - keep)))
 
 

@@ -107,16 +107,9 @@ def j09_column_wise_distinct(spark, d):
     return keyjoin.join_tables(a, b, "nation", policy="column_wise_join", order="o", right_order="o")
 
 
-@query("""select coalesce(cast(c_custkey as varchar), 'NA') as c_custkey, coalesce(c_name, 'NA') as c_name, coalesce(c_mktsegment, 'NA') as c_mktsegment,
-coalesce(cast(o_orderkey as varchar), 'NA') as o_orderkey, coalesce(o_orderstatus, 'NA') as c_name_2 from customer full join (select * from orders where o_orderkey % 50 < 3 or o_custkey < 20) on c_custkey = o_custkey + 7""")
-def j10_unpaired(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 50 < 3 or o_custkey < 20").select((F.col("o_custkey") + 7).cast("string").alias("c_custkey"), F.col("o_orderkey").cast("string"), F.col("o_orderstatus").alias("c_name"))
-    return keyjoin.join_tables(_customers(spark, d), o, "c_custkey", policy="all_pairwise_combinations", missing="NA", unpaired=True)
-
-
 @query("""select coalesce(cast(c_custkey as varchar), 'NA') as c_custkey, coalesce(c_name, 'NA') as c_name, coalesce(c_mktsegment, 'NA') as c_mktsegment,
 coalesce(cast(o_orderkey as varchar), 'NA') as o_orderkey, coalesce(o_orderstatus, 'NA') as c_name_2 from customer full join orders on c_custkey = o_custkey + 7""")
-def j10_unpaired_all(spark, d):
+def j10_unpaired(spark, d):
     o = table(spark, d, "orders").select((F.col("o_custkey") + 7).cast("string").alias("c_custkey"), F.col("o_orderkey").cast("string"), F.col("o_orderstatus").alias("c_name"))
     return keyjoin.join_tables(_customers(spark, d), o, "c_custkey", policy="all_pairwise_combinations", missing="NA", unpaired=True)
 
@@ -212,17 +205,9 @@ def j19_block_lookup(spark, d):
     return overlap.overlap_join(q, alignment.genome_blocks(v.blocks(spark, d), "A")).select(F.col("a_start").alias("start"), F.col("b_block").alias("block"))
 
 
-@query(f"""{with_('seqs', 'blocks', 'cells')}, g as (select c.block, c.name, c.nuc, a.pos from cells c join cells a on a.block = c.block and a.col = c.col and a.name = 'A.chr1' and a.pos % 997 = 0),
-u as (select pos from g group by pos having count(distinct block) = 1) select g.pos, name, nuc from g join u using (pos)""")
-def j20_column_lookup(spark, d):
-    g = alignment.genome_cells(v.blocks(spark, d), "A").where("pos % 997 = 0")
-    one = g.groupBy("chrom", "pos").agg(F.count_distinct("block").alias("n")).where("n = 1").select("chrom", "pos")
-    return alignment.unique_column(g, one).select("pos", "name", "nuc")
-
-
 @query(f"""{with_('seqs', 'blocks', 'cells')}, g as (select c.block, c.name, c.nuc, a.pos from cells c join cells a on a.block = c.block and a.col = c.col and a.name = 'A.chr1' and a.pos is not null),
 u as (select pos from g group by pos having count(distinct block) = 1) select g.pos, name, nuc from g join u using (pos)""")
-def j20_column_lookup_all(spark, d):
+def j20_column_lookup(spark, d):
     return alignment.unique_columns(v.blocks(spark, d), "A").select("pos", "name", "nuc")
 
 
@@ -322,14 +307,14 @@ _PAIR = "{with_} select a.name as a, b.name as b".format
 
 
 @query(f"""{with_('reads', 'rois')}, p as (select a."start" as s1, a."end" as e1, a.strand as st, b.name as bn, a.name as an, b."start" as s2, b."end" as e2, b.strand as bs, a.chrom as c1, b.chrom as c2
-from reads a join rois b on a.name = (b.k || '_1') or a.name = (b.k || '_2'))
+from reads a join rois b on split_part(a.name, '_', 1) = cast(b.k as varchar))
 select an, bn, e1 - s1 as len, case when c1 = c2 then greatest(0, greatest(s1, s2) - least(e1, e2)) end as distance,
 case when c1 = c2 then case when e2 < e1 then -greatest(0, greatest(s1, s2) - least(e1, e2)) else greatest(0, greatest(s1, s2) - least(e1, e2)) end end as signed,
 case when c1 = c2 then greatest(0, least(e1, e2) - greatest(s1, s2)) else 0 end as shared, (c1 < c2 or (c1 = c2 and e1 < e2)) as before, st = '+' as positive from p""")
 def s01_interval_scalars(spark, d):
     a, b = overlap.prefixed(v.reads(spark, d), "a"), overlap.prefixed(v.regions(spark, d), "b")
     key = F.concat(F.lit("r"), F.substring_index("a_name", "_", 1))
-    j = a.where("a_name like '%\\_1' or a_name like '%\\_2'").join(b, key == F.col("b_name"))
+    j = a.join(b, key == F.col("b_name"))
     same = F.col("a_chrom") == F.col("b_chrom")
     return j.select(
         F.col("a_name").alias("an"), F.col("b_name").alias("bn"), predicates.length("a_").alias("len"), F.when(same, predicates.distance()).alias("distance"),
@@ -471,35 +456,10 @@ def q08_reverse_complement(spark, d):
     return v.seqs(spark, d).select("doc_id", sq.reverse_complement("seq").alias("rc"))
 
 
-@query(f"""{with_('seqs')}, z as (select doc_id, replace(substr(seq, 1, 60), 'N', '-') as s from seqs where length(seq) >= 60)
-select doc_id, substr(s, 11, 30) as piece, cast(1000 + length(replace(substr(s, 1, 10), '-', '')) as bigint) as "start", cast(length(replace(substr(s, 41), '-', '')) + 7 as bigint) as remaining from z""")
-def q06_gapped_subsequence(spark, d):
-    s = v.seqs(spark, d).where("length(seq) >= 60").selectExpr("doc_id", "replace(substring(seq, 1, 60), 'N', '-') as s")
-    x = sq.gapped_subsequence("s", F.lit(1000).cast("long"), F.lit("+"), F.lit(7).cast("long"), 11, 41)
-    return s.select("doc_id", x.alias("x")).select("doc_id", F.col("x.seq").alias("piece"), F.col("x.start").alias("start"), F.col("x.remaining").alias("remaining"))
-
-
-@query(f"""{with_('seqs')}, a as (select doc_id, substr(seq, 1, 20) as x, substr(seq, 6, 20) as y from seqs where length(seq) >= 25),
-c as (select doc_id, x, y, unnest(generate_series(1, 20)) as i from a) select doc_id, count(*) filter (substr(x, cast(i as int), 1) = substr(y, cast(i as int), 1)) as same from c group by 1""")
-def q07_similarity(spark, d):
-    return v.seqs(spark, d).where("length(seq) >= 25").select("doc_id", sq.similarity("seq", 0, 19, "seq", 5, 24).cast("long").alias("same"))
-
-
-@query(f"""{with_('seqs')}, z as (select doc_id, substr(seq, 1, 80) as s from seqs where length(seq) >= 80), w as (select doc_id, s, unnest(generate_series(0, 70)) as i from z),
-h as (select doc_id, s, i, (select count(*) from generate_series(1, 10) t(k) where substr(s, cast(i + k as int), 1) = substr('AGATCGGAAG', cast(k as int), 1)) as m from w),
-b as (select doc_id, s, max(i) filter (m >= 6) as hit from h group by all) select doc_id, case when hit is null then s else substr(s, 1, cast(hit as int)) || repeat('N', cast(80 - hit as int)) end as clipped from b""")
-def q15_clip_adaptor(spark, d):
-    # six matches of ten rather than eight, so that random text has some; overhangs at the 5' end never reach six here
-    s = v.seqs(spark, d).where("length(seq) >= 80").selectExpr("doc_id", "substring(seq, 1, 80) as s")
-    hit = sq._clip_start(F.col("s"), F.lit("AGATCGGAAG"), F.lit(6))
-    out = F.when(hit.isNull() | (hit < 0), F.col("s")).otherwise(F.concat(F.substring("s", F.lit(1), hit), F.repeat(F.lit("N"), F.length("s") - hit)))
-    return s.select("doc_id", out.alias("clipped"))
-
-
 @query(f"""{with_('seqs')}, z as (select doc_id, replace(seq, 'N', '-') as s, length(seq) as n, unnest(generate_series(0, 2)) as k from seqs),
 t as (select *, n * k // 3 + 1 as f, n * (k + 1) // 3 + 1 as e from z)
 select doc_id, k, substr(s, cast(f as int), cast(e - f as int)) as piece, cast(1000 + length(replace(substr(s, 1, cast(f - 1 as int)), '-', '')) as bigint) as "start", cast(length(replace(substr(s, cast(e as int)), '-', '')) + 7 as bigint) as remaining from t""")
-def q06_gapped_subsequence_all(spark, d):
+def q06_gapped_subsequence(spark, d):
     # thirds, so that every symbol is in one piece
     s = v.seqs(spark, d).select("doc_id", F.replace("seq", F.lit("N"), F.lit("-")).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("k"))
     first, stop = F.expr("cast(length(s) * k div 3 + 1 as int)"), F.expr("cast(length(s) * (k + 1) div 3 + 1 as int)")
@@ -509,13 +469,17 @@ def q06_gapped_subsequence_all(spark, d):
 
 @query(f"""{with_('seqs')}, c as (select doc_id, seq, unnest(generate_series(1, length(seq) - 5)) as i from seqs),
 m as (select doc_id, count(*) filter (substr(seq, cast(i as int), 1) = substr(seq, cast(i + 5 as int), 1)) as same from c group by 1) select doc_id, coalesce(same, 0) as same from seqs left join m using (doc_id)""")
-def q07_similarity_all(spark, d):
+def q07_similarity(spark, d):
     n = F.length("seq")
     return v.seqs(spark, d).select("doc_id", F.when(n > 5, sq.similarity("seq", 0, n - 6, "seq", 5, n - 1)).otherwise(0).cast("long").alias("same"))
 
 
-@query()
-def q15_clip_adaptor_all(spark, d):
+_HITS = " + ".join(f"case when i + {k} >= 1 and substr(seq, cast(i + {k} as int), 1) = '{c}' then 1 else 0 end" for k, c in enumerate("AGATCGGAAG", 1))
+
+
+@query(f"""{with_('seqs')}, w as (select doc_id, seq, unnest(generate_series(-9, greatest(length(seq) - 10, -1))) as i from seqs), b as (select doc_id, max(i) filter ({_HITS} >= 8) as hit from w group by 1)
+select doc_id, case when hit is null then seq else substr(seq, 1, cast(greatest(hit, 0) as int)) || repeat('N', cast(length(seq) - greatest(hit, 0) as int)) end as clipped from seqs join b using (doc_id)""")
+def q15_clip_adaptor(spark, d):
     return v.seqs(spark, d).select("doc_id", sq.clip_adaptor("seq", F.lit("AGATCGGAAGAGC")).alias("clipped"))
 
 
@@ -533,40 +497,8 @@ def q20_reads(spark, d):
 # --- alignments
 
 
-@query(f"{with_('seqs', 'blocks', 'cells')} select block, col, name, nuc from cells where col = block % 50 + 1")
-def l01_columns(spark, d):
-    b = v.blocks(spark, d)
-    return alignment.columns_at(b, b.select("block").distinct().select("block", (F.col("block") % 50 + 1).cast("int").alias("col"))).select("block", F.col("col").cast("long").alias("col"), "name", "nuc")
-
-
-@query(f"{with_('seqs', 'blocks', 'cells')}, q as (select distinct block, name from blocks) select q.block, q.name, min(pos) as seq_start, max(pos) + 1 as seq_end from q left join cells c on c.block = q.block and c.name = q.name and col >= 3 and col < 23 group by all")
-def l02_column_to_sequence(spark, d):
-    b = v.blocks(spark, d)
-    q = b.select("block", "name", F.lit(3).cast("long").alias("first"), F.lit(23).cast("long").alias("stop"))
-    return alignment.column_to_sequence(b, q, trim=True).select("block", "name", "seq_start", "seq_end")
-
-
-_RUN = """q as (select block, name, "start" + 2 as f, "start" + 40 as t from blocks),
-c as (select q.block, q.name, col, pos, col - row_number() over (partition by q.block, q.name order by col) as isl from q join cells c on c.block = q.block and c.name = q.name and pos >= f and pos < t)"""
-
-
-@query(f"{with_('seqs', 'blocks', 'cells')}, {_RUN} select block, name, min(col) as col_start, max(col) + 1 as col_end from c group by block, name, isl")
-def l03_sequence_to_columns(spark, d):
-    b = v.blocks(spark, d)
-    q = b.select("block", "name", (F.col("start") + 2).alias("first"), (F.col("start") + 40).alias("stop"))
-    got = alignment.sequence_to_columns(b, q, trim=True)
-    return got.select("block", "name", F.col("col_start").cast("long").alias("col_start"), F.col("col_end").cast("long").alias("col_end"))
-
-
-@query(f"{with_('seqs', 'blocks', 'cells')}, {_RUN}, l as (select c.block, c.isl, min(o.pos) as dest_start, max(o.pos) + 1 as dest_end from c join cells o on o.block = c.block and o.col = c.col and o.name = 'B.chr1' and o.pos is not null where c.name = 'A.chr1' group by all) select block, dest_start, dest_end from l")
-def l04_liftover(spark, d):
-    b = v.blocks(spark, d)
-    q = b.where("name = 'A.chr1'").select("block", F.lit("A.chr1").alias("origin"), F.lit("B.chr1").alias("dest"), (F.col("start") + 2).alias("first"), (F.col("start") + 40).alias("stop"))
-    return alignment.liftover(b, q).select("block", "dest_start", "dest_end")
-
-
 @query(f"{with_('seqs', 'blocks', 'cells')} select block, col, name, nuc from cells")
-def l01_columns_all(spark, d):
+def l01_columns(spark, d):
     b = v.blocks(spark, d)
     every = b.groupBy("block").agg(F.max(F.length("seq")).alias("w")).select("block", F.explode(F.sequence(F.lit(1), F.col("w"))).alias("col"))
     return alignment.columns_at(b, every).select("block", F.col("col").cast("long").alias("col"), "name", "nuc")
@@ -574,7 +506,7 @@ def l01_columns_all(spark, d):
 
 @query(f"""{with_('seqs', 'blocks', 'cells')}, z as (select block, name, length(seq) as w, unnest(generate_series(0, 7)) as k from blocks), q as (select block, name, w * k // 8 + 1 as f, w * (k + 1) // 8 + 1 as t from z)
 select q.block, q.name, f as "first", min(pos) as seq_start, max(pos) + 1 as seq_end from q left join cells c on c.block = q.block and c.name = q.name and col >= f and col < t where f < t group by all""")
-def l02_column_to_sequence_all(spark, d):
+def l02_column_to_sequence(spark, d):
     b = v.blocks(spark, d)
     # eighths tile each block
     q = b.select("block", "name", F.length("seq").cast("long").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).selectExpr("block", "name", "w * k div 8 + 1 as first", "w * (k + 1) div 8 + 1 as stop").where("first < stop")
@@ -585,14 +517,14 @@ _RUNS = "c as (select block, name, col, pos, col - row_number() over (partition
 
 
 @query(f"{with_('seqs', 'blocks', 'cells')}, {_RUNS} select block, name, min(col) as col_start, max(col) + 1 as col_end from c group by block, name, isl")
-def l03_sequence_to_columns_all(spark, d):
+def l03_sequence_to_columns(spark, d):
     b = v.blocks(spark, d)
     got = alignment.sequence_to_columns(b, b.select("block", "name", F.col("start").alias("first"), F.col("end").alias("stop")), trim=True)
     return got.select("block", "name", F.col("col_start").cast("long").alias("col_start"), F.col("col_end").cast("long").alias("col_end"))
 
 
 @query(f"{with_('seqs', 'blocks', 'cells')}, {_RUNS}, l as (select c.block, c.isl, min(o.pos) as dest_start, max(o.pos) + 1 as dest_end from c join cells o on o.block = c.block and o.col = c.col and o.name = 'B.chr1' and o.pos is not null where c.name = 'A.chr1' group by all) select block, dest_start, dest_end from l")
-def l04_liftover_all(spark, d):
+def l04_liftover(spark, d):
     b = v.blocks(spark, d)
     q = b.where("name = 'A.chr1'").select("block", F.lit("A.chr1").alias("origin"), F.lit("B.chr1").alias("dest"), F.col("start").alias("first"), F.col("end").alias("stop"))
     return alignment.liftover(b, q).select("block", "dest_start", "dest_end")
