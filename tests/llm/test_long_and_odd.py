@@ -62,3 +62,41 @@ def test_items_under_three_words_match_nothing():
     its = leakage.Items.of([1, 2], ["one two", ""])
     assert list(leakage.search(its, ["one two one two one two"])) == []
     assert list(leakage.search(its, [])) == []
+
+
+def test_a_text_of_twenty_megabytes_is_split(spark):
+    from spanloom.llm import split
+
+    line = 'Some words stand here. And a few more words\n'
+    n = 20_000_000 // len(line)
+    df = spark.createDataFrame([(1,)], "doc_id long").selectExpr("doc_id", f"repeat('{line[:-1]}\\n', {n}) as text")
+    pieces = split.split_texts(df, 1000, 100).selectExpr("piece_no", "piece_start", "length(piece) as n").orderBy("piece_no").collect()
+    assert [p.piece_no for p in pieces] == list(range(1, len(pieces) + 1))
+    assert all(b.piece_start == a.piece_start + a.n - 100 and a.n <= 1000 for a, b in zip(pieces, pieces[1:]))
+    assert pieces[-1].piece_start + pieces[-1].n == n * len(line)
+
+
+def test_regions_equal_the_regular_expression_over_one_character_a_base(spark):
+    import random
+    import re
+
+    from spanloom.llm import split
+
+    rnd = random.Random(6)
+    limit, least, overlap = 100, 50, 20
+    regions = [(i, "c", s, s + rnd.randrange(0, 3000)) for i, s in enumerate(rnd.randrange(-2000, 2000) for _ in range(60))]
+    breaks = sorted({rnd.randrange(-2500, 5000) for _ in range(150)})
+    have, want = set(breaks), []
+    for i, _, s, e in regions:
+        if e - s <= limit:
+            continue
+        text = "".join("B" if x in have else "." for x in range(s + 1, e + 1))
+        one = lambda a, b: rf"[.B]{{1,{b}}}\Z|[.B]{{{a},{b - 1}}}B|[.B]{{1,{b}}}"
+        at = re.match(one(least, limit), text).end()
+        want.append((i, 1, s, s + at))
+        for no, m in enumerate(re.compile(one(least - overlap, limit - overlap)).finditer(text, at), 2):
+            want.append((i, no, s + m.start() - overlap, s + m.end()))
+    r = spark.createDataFrame(regions, "region_id long, chrom string, start long, end long")
+    b = spark.createDataFrame([("c", x) for x in breaks], "chrom string, pos long")
+    got = split.split_regions(r, b, limit, least, overlap)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
