@@ -18,8 +18,9 @@ NOT_WORD = re.compile(r"[^\w\x00-\x7f]+")
 IDEOGRAPH = re.compile("([\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af])")
 UNICODE_ESCAPE = re.compile(r"\\+u([0-9a-fA-F]{4})")
 ESCAPE = re.compile(r"\\+[nrtbf]?")
-TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,400}>")
-LINK_TARGET = re.compile(r"\]\([^()\s]{0,400}\)")
+#: A tag of any length by its syntax (name, attributes), so that a comparison in code is none.
+TAG = re.compile(r"""</?[a-zA-Z][\w:.-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=]++))?+)*+\s*+/?>|<!--|-->|<![a-zA-Z][^<>]*+>""")
+LINK_TARGET = re.compile(r"\]\([^()\s]*+\)")
 WRAPPED_WORD = re.compile(r"(?<=[a-z])-[ \t]*\r?\n[ \t#>*]*(?=[a-z])")
 
 WORD_BYTE = np.zeros(256, bool)

@@ -169,20 +169,20 @@ def test_planted_passages_are_found_and_others_not(spark):
     assert leakage.find_leaks(d.limit(0), i).collect() == []
 
 
-def test_many_items_take_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "PASS_CHARS", 300)
-    d = spark.createDataFrame([(1, ITEMS[0][1] + " " + ITEMS[1][1])], "doc_id long, text string")
-    got = leakage.find_leaks(d, spark.createDataFrame(ITEMS + [(9, ITEMS[0][1])], "item_id long, text string")).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (1, 2), (1, 9)]
-
-
-def test_sketch_estimates_containment_of_long_items():
-    rnd = random.Random(6)
-    w = [f"w{rnd.randrange(10**9)}" for _ in range(5000)]
-    items = leakage.Items.of([1], [" ".join(w)])
-    assert items.sketch_size[0] == leakage.SKETCH and items.in_sketch.sum() == leakage.SKETCH
-    found = list(leakage.search(items, [" ".join(w[1000:3200])]))
-    assert found and abs(found[0][2] - 0.44) < 0.01
+def test_the_number_of_passes_does_not_matter(spark):
+    rnd = random.Random(4)
+    phrase = "read every line of the passage below and then answer with one whole sentence"
+    items = [(i, " ".join(f"i{i}w{rnd.randrange(60)}" for _ in range(rnd.choice([20, 60, 150]))) + " " + phrase) for i in range(60)] + ITEMS + [(900, ITEMS[0][1])]
+    texts = [(i, FILLER + t + FILLER) for i, t in items if t] + [(1000, phrase), (1001, (phrase + " ") * 9), (1002, ITEMS[0][1] + " " + ITEMS[1][1])]
+    d, i = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    total = sum(min(leakage.SKETCH * 1.2, len(t.split())) for _, t in items if t)
+    first = None
+    for per_pass in (4_000_000, int(total / 10), int(total / 40)):
+        got = sorted(map(tuple, leakage.find_leaks(d, i, hashes_per_pass=per_pass).collect()))
+        first = first or got
+        assert got == first
+    assert {(r[0], r[1]) for r in first} >= {(k, k) for k in range(60)} | {(1002, 1), (1002, 2), (1002, 900)}
+    assert not {r[0] for r in first} & {1000, 1001}
 
 
 def test_plain_text():

@@ -8,6 +8,8 @@ pytest.importorskip("spanloom.llm")
 
 from spanloom.llm import cells, leakage, plain, stuffing  # noqa: E402
 
+from tools import leaks  # noqa: E402
+
 N = 400_000
 LONG = {
     "newlines": "\n" * N,
@@ -43,25 +45,50 @@ def test_long_texts_take_linear_time(name):
 
 def test_passage_in_a_long_text():
     item = "Opposite the quarry Quilulaa dried 912 rusted pegs, and some clerk sketched 15 salt keys in secret near the fountain."
-    its = leakage.Items.of([7], [item])
     text = "never halves the output " * 100_000 + item + " never halves the output" * 100_000
-    (found,) = leakage.search(its, [None or "", text])
-    assert found[0] == 1 and found[2] == 1.0
+    assert list(leaks([(7, item)], ["", text])) == [(1, 7, 1.0)]
 
 
 def test_shared_phrases_and_repeats_are_no_passage():
     phrase = "Choose the best answer and explain your reasoning in two sentences."
     body = "Lomarrason heard how one gardener weighed 932 reed pans for a small fee beside the drawbridge while another fletcher soaked 44 nets."
-    its = leakage.Items.of([1, 2], [body + " " + phrase, "Siletha auctioned 80 ladders before the stormy eclipse and copied what remained beyond the kiln of her saddler. " + phrase])
-    assert [x for x in leakage.search(its, [(phrase + " ") * 50]) if x[2] >= leakage.LEAST] == []
+    its = [(1, body + " " + phrase), (2, "Siletha auctioned 80 ladders before the stormy eclipse and copied what remained beyond the kiln of her saddler. " + phrase)]
+    assert [x for x in leaks(its, [(phrase + " ") * 50]) if x[2] >= leakage.LEAST] == []
     short = " ".join(body.split()[:6])
-    assert [x for x in leakage.search(its, [(short + " filler words here. ") * 50]) if x[2] >= leakage.LEAST] == []
+    assert [x for x in leaks(its, [(short + " filler words here. ") * 50]) if x[2] >= leakage.LEAST] == []
+
+
+def test_items_under_four_words_match_nothing():
+    its = [(1, "one two"), (2, ""), (3, "one two three")]
+    assert list(leaks(its, ["one two three one two three"])) == []
+    assert list(leaks(its, [])) == []
+
 
+def test_tags_and_link_targets_of_any_length_are_no_words():
+    tag = '<div style="' + "color: red; " * 1000 + '">'
+    assert plain.plain(f"one {tag} two</div> three").split() == ["one", "two", "three"]
+    assert plain.plain("for (i=0; i <n; i++) x = y[i] -> z").split() == "for (i=0; i <n; i++) x = y[i] -> z".split()
+    assert plain.plain("see [this](http://a.example/" + "x" * 5000 + ") now").split() == ["see", "[this]", "now"]
+
+
+def test_sketches_of_long_items_find_nearly_all_that_whole_items_find():
+    import random
 
-def test_items_under_three_words_match_nothing():
-    its = leakage.Items.of([1, 2], ["one two", ""])
-    assert list(leakage.search(its, ["one two one two one two"])) == []
-    assert list(leakage.search(its, [])) == []
+    rnd = random.Random(12)
+    items = [(i, " ".join(f"w{rnd.randrange(10**9)}" for _ in range(n))) for i, n in enumerate([130, 160, 200, 300, 500, 900, 2000] * 6)]
+    texts, want = [], set()
+    for i, t in items:
+        w = t.split()
+        for _ in range(6):
+            n = int(len(w) * rnd.uniform(0.42, 0.6))
+            s = rnd.randrange(len(w) - n)
+            cut = [f"z{rnd.randrange(10**9)}" if rnd.random() < 0.1 else x for x in w[s : s + n]]
+            texts.append("never halves the output " * 50 + " ".join(cut) + " never halves the output" * 50)
+    want = {(d, i) for d, i, share in leaks(items, texts, size=10**9) if share >= leakage.LEAST}
+    got = {(d, i) for d, i, share in leaks(items, texts) if share >= leakage.LEAST}
+    assert len(want) > 150 and got <= want and len(got) >= 0.98 * len(want)
+    kept = sum(len(leakage.sketch(leakage._shingles(plain.word_hashes([t])[0]))) for _, t in items)
+    assert kept < 50 * len(items)
 
 
 def test_a_text_of_twenty_megabytes_is_split(spark):
