@@ -210,6 +210,20 @@ SOUND = [
 ]
 
 
+def test_short_paragraphs_are_judged_together():
+    assert stuffing.stuffed_share("\n\n".join(["buy cheap shoes now"] * 200)) > 0.9
+    assert stuffing.stuffed_share("\n\n".join(f"http://shop{i * 7}.example/p?id={i}" for i in range(200))) > 0.9
+    assert stuffing.stuffed_share("\n\n".join(f"[lamp](http://shop{i * 7}.example/{i})" for i in range(200))) > 0.9
+    assert stuffing.stuffed_share("The bike shop sells many parts. Part QW-1234 costs 12.50 and part QX-2345 costs 13.50 today.") == 0.0
+    assert stuffing.stuffed_share("KeyError: 'x'\n" + "cheap lamp garden tent " * 60) > 0.9  # one line of a trace excuses no list
+
+
+def test_the_ratio_follows_length_and_language():
+    assert stuffing.expected_ratio(64) > stuffing.expected_ratio(1000) > stuffing.expected_ratio(10**6) > 0
+    assert stuffing.expected_ratio(500, "ru") < stuffing.expected_ratio(500, "en") == stuffing.expected_ratio(500, None) < stuffing.expected_ratio(500, "zh")
+    assert stuffing.language("Модель делит цепь", "en") == "ru" and stuffing.language("a plain text", "zh") is None and stuffing.language("Das Gen", "de") == "de"
+
+
 def test_stuffed_blocks_and_sound_ones():
     assert all(stuffing.stuffed_share(x) > 0.5 for x in STUFFED)
     assert [stuffing.stuffed_share(x) for x in SOUND] == [0.0] * len(SOUND)
