@@ -12,6 +12,7 @@ The vocabulary file is a parameter (``path``) and is read by each worker; it is
 from __future__ import annotations
 
 import base64
+import functools
 import sys
 from collections.abc import Iterator
 
@@ -52,6 +53,12 @@ def _mix(x: np.ndarray, by: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+@functools.lru_cache(maxsize=2)
+def loaded(path: str) -> ByteBpe:
+    """The vocabulary of a worker process, with the words it has met: read once, not for each task."""
+    return ByteBpe(path)
+
+
 class ByteBpe:
     """A rank vocabulary (token bytes and rank per line) as sorted merge tables, with the words met so far."""
 
@@ -237,7 +244,7 @@ def encode_corpus(df: DataFrame, path: str | None = None, bytes_per_batch: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path or default_path())
+        bpe = loaded(path or default_path())
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             size = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64))
