@@ -20,14 +20,19 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.02, tracked: int = 4096
     return [(x["item"], x["count"], n) for x in (row["top"] or []) if x["count"] >= share * n] if n else []
 
 
-def top_per_key(df: DataFrame, key: str, order: list[Column], k: int, spread: Column, share: float = 0.02, rows_per_task: int = 2_000_000) -> DataFrame:
+def task_share(df: DataFrame) -> float:
+    """The share of the rows at which a key is heavy: twice that of a shuffle task, between a thousandth and a fiftieth."""
+    return min(0.02, max(0.001, 2 / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def top_per_key(df: DataFrame, key: str, order: list[Column], k: int, spread: Column, share: float | None = None, rows_per_task: int = 2_000_000) -> DataFrame:
     """The first ``k`` rows of every key by ``order`` (all columns of ``df`` are kept); null keys take no part.
 
     ``spread`` is any well-distributed column (a row id); rows equal in ``order`` are interchangeable, so give a total
-    order where the choice matters. Fewer than ``k`` rows of a key all come out. An empty table gives an empty result.
+    order where the choice matters. ``share`` of the rows makes a key heavy (``task_share``). Fewer than ``k`` rows of a key all come out. An empty table gives an empty result.
     """
     df = df.where(F.col(key).isNotNull())
-    heavy = heavy_keys(df, key, share)
+    heavy = heavy_keys(df, key, share or task_share(df))
     # helper columns whose names no column of df has
     tag = "_"
     while any(c.startswith(tag) for c in df.columns):
