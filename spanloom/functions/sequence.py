@@ -216,22 +216,35 @@ def gapped_subsequence(seq: Column | str, start: Column, strand: Column, remaini
 def subsequence(seq: Column | str, start: Column, first: Column, stop: Column) -> Column:
     """The gapped piece that holds the bases at absolute positions [first, stop) of a sequence that begins at ``start``.
 
-    Gaps inside the piece are kept, those at its rims are not.
+    Gaps inside the piece are kept, those at its rims are not. The bases before the piece and those up to its end are
+    skipped by one regular expression each (in steps of a thousand, the most a bounded repeat should have).
     """
-    cells = F.split(_s(seq), "")
-    zero = F.struct(start.cast("long").alias("pos"), F.lit("").alias("out"), F.lit("").alias("gaps"))
+    s = _s(seq)
+    lo, hi = F.greatest(first - start, F.lit(0).cast("long")), F.greatest(stop - start, F.lit(0).cast("long"))
+
+    def after(n: Column) -> Column:
+        # length of the shortest beginning with n bases
+        step = F.concat(F.lit(r"\A(?:(?:-*+[^-]){1000}){"), F.floor(n / 1000).cast("string"), F.lit(r"}(?:-*+[^-]){"), (n % 1000).cast("string"), F.lit("}"))
+        return F.length(F.coalesce(F.regexp_substr(s, step), F.lit("")))
+
+    bases = F.length(F.replace(s, F.lit("-"), F.lit(""))).cast("long")
+    a, b = after(F.least(lo, bases)), after(F.least(hi, bases))
+    return F.when(F.least(hi, bases) <= F.least(lo, bases), F.lit("")).otherwise(F.regexp_replace(F.substring(s, a + 1, b - a), r"\A-+", ""))
+
+
+def equal_sequences(a: str, b: str) -> Column:
+    """Equal seq, name, meta, start, end and remaining of two sequences by their columns' prefixes; nulls are equal."""
+    out = F.lit(True)
+    for c in ("seq", "name", "start", "end", "remaining"):
+        out &= F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}"))
+    pairs = [F.array_sort(F.map_entries(f"{x}meta")) for x in (a, b)]
+    return out & pairs[0].eqNullSafe(pairs[1])
 
-    def step(acc: Column, c: Column) -> Column:
-        pos, out, gaps = acc["pos"], acc["out"], acc["gaps"]
-        gap = c == "-"
-        inside = (pos >= first) & (pos < stop)
-        return F.struct(
-            F.when(gap, pos).otherwise(pos + 1).alias("pos"),
-            F.when(~gap & inside, F.concat(out, gaps, c)).otherwise(out).alias("out"),
-            F.when(gap & (F.length(out) > 0), F.concat(gaps, c)).when(gap, gaps).otherwise(F.lit("")).alias("gaps"),
-        )
 
-    return F.aggregate(cells, zero, step)["out"]
+def merge_maps(a: Column | str, b: Column | str) -> Column:
+    """All pairs of two maps; a key of both has the second's value."""
+    x, y = _s(a), _s(b)
+    return F.map_concat(F.map_filter(x, lambda k, _: ~F.map_contains_key(y, k)), y)
 
 
 def meta_to_string(meta: Column | str) -> Column:
@@ -271,6 +284,20 @@ def mean_quality(qual: Column | str, encoding: str = "33") -> Column:
     return F.when(F.length(q) > 0, total / F.length(q))
 
 
+def reverse_complement_read(seq: Column | str = "seq", qual: Column | str = "qual", rna: bool | None = None) -> Column:
+    """Struct (seq, qual) of a read turned round: the complement backwards, with its qualities."""
+    return F.struct(reverse_complement(seq, rna).alias("seq"), F.reverse(_s(qual)).alias("qual"))
+
+
+def split_read(seq: Column | str = "seq", qual: Column | str = "qual", name: Column | str = "name", point: Column | int | None = None) -> Column:
+    """Two structs (name, seq, qual) as ``split_at``; a point outside [0, length] fails."""
+    s, q, n = _s(seq), _s(qual), _s(name)
+    at = F.floor(F.length(s) / 2).cast("int") if point is None else _n(point)
+    at = F.when((at >= 0) & (at <= F.length(s)), at).when(s.isNotNull(), F.raise_error(F.lit("no such place to split a read at")).cast("int"))
+    part = lambda tag, c: [F.concat(n, F.lit(tag)).alias("name"), c(s).alias("seq"), c(q).alias("qual")]
+    return F.array(F.struct(*part(".1", lambda x: F.substring(x, F.lit(1), at))), F.struct(*part(".2", lambda x: F.substring(x, at + 1, F.length(x)))))
+
+
 def merge_reads(a: str, b: str, force: bool = False) -> tuple[Column, Column, Column]:
     """(name, seq, qual) of two reads put together; names must be equal unless forced."""
     name = F.when(F.lit(force) | (F.col(f"{a}_name") == F.col(f"{b}_name")), F.col(f"{a}_name")).otherwise(F.raise_error(F.lit("names differ")).cast("string"))

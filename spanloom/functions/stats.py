@@ -38,7 +38,7 @@ def correct_pvalues(df: DataFrame, p: str, into: str = "q", method: str = "BH")
     else:
         raw = pv * F.col("n") / F.col("_r")
         if method == "BY":
-            raw = raw * F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / i)
+            raw = raw * harmonic(F.col("n"))
         inside, carried = Window.partitionBy("_b").orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
         pick, both = F.min, F.least
     ranked = ranked.withColumn("_q", raw)
@@ -48,6 +48,13 @@ def correct_pvalues(df: DataFrame, p: str, into: str = "q", method: str = "BH")
     return out.unionByName(df.where(F.col(p).isNull()).withColumn(into, F.lit(None).cast("double")))
 
 
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: the terms up to 32, then the expansion about the logarithm (exact to 1e-13 from there on)."""
+    few = sum((F.when(n >= i, F.lit(1.0) / i).otherwise(0.0) for i in range(1, 33)), F.lit(0.0))
+    x = n.cast("double")
+    return F.when(n <= 32, few).otherwise(F.log(x) + 0.57721566490153286 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x))
+
+
 def _log_choose(n: np.ndarray | float, k: np.ndarray) -> np.ndarray:
     g = np.vectorize(math.lgamma, otypes=[float])
     return g(n + 1) - g(k + 1) - g(n - k + 1)

@@ -30,6 +30,23 @@ def check_blocks(blocks: DataFrame) -> DataFrame:
     return out.select("block", why.alias("reason")).where("reason is not null")
 
 
+def block_sizes(blocks: DataFrame) -> DataFrame:
+    """block, size (columns), num_seqs of each block."""
+    return blocks.groupBy("block").agg(F.max(F.length("seq")).cast("long").alias("size"), F.count("*").alias("num_seqs"))
+
+
+def block_key(chrom: Column, start: Column, end: Column) -> Column:
+    """A block's key by its place: chrom, start and end with tabs between them."""
+    return F.concat_ws("\t", chrom, start.cast("string"), end.cast("string"))
+
+
+def parse_block_key(key: Column) -> Column:
+    """Struct (chrom, start, end) of a key; another form fails."""
+    part = lambda i: F.regexp_extract(key, r"\A([^\t]*)\t(\d+)\t(\d+)\z", i)
+    ok = F.when(part(2) != "", key).when(key.isNotNull(), F.raise_error(F.concat(F.lit("not a block key: "), key)).cast("string"))
+    return F.struct(F.when(ok.isNotNull(), part(1)).alias("chrom"), part(2).try_cast("long").alias("start"), part(3).try_cast("long").alias("end"))
+
+
 def cells(blocks: DataFrame, missing: str = SKIP) -> DataFrame:
     """block, name, col, nuc, pos: one row per symbol; ``pos`` is null at a gap.
 
@@ -128,7 +145,8 @@ def genome_blocks(blocks: DataFrame, reference: str) -> DataFrame:
     """block, chrom, start, end of the reference sequence of each block; a block with none or several fails."""
     ref = blocks.withColumn("_ref", F.col("name").startswith(f"{reference}."))
     out = ref.groupBy("block").agg(F.sum(F.col("_ref").cast("int")).alias("n"), *[F.max(F.when(F.col("_ref"), F.col(c))).alias(c) for c in ("name", "start", "end")])
-    chrom = F.when(F.col("n") == 1, F.substring_index("name", ".", -1)).otherwise(F.raise_error(F.concat(F.lit("block without one reference sequence: "), F.col("block").cast("string"))).cast("string"))
+    bad = (F.col("n") == 1) & ~F.col("name").rlike(r"\A[^.]+\.[^.]+\z")
+    chrom = F.when(bad, F.raise_error(F.concat(F.lit("not assembly.chromosome: "), F.col("name"))).cast("string")).when(F.col("n") == 1, F.substring_index("name", ".", -1)).otherwise(F.raise_error(F.concat(F.lit("block without one reference sequence: "), F.col("block").cast("string"))).cast("string"))
     return out.select("block", chrom.alias("chrom"), "start", "end")
 
 
@@ -157,6 +175,16 @@ def pid_by_position(gcells: DataFrame, ignore_gaps: bool = False) -> DataFrame:
     return out.where("b0 = b1 and best is not null").select("chrom", "pos", (F.col("best") / F.col("all")).alias("pid"))
 
 
+def region_profiles(regions: DataFrame, blocks: DataFrame, reference: str, key: str = "name", missing: str = GAPS, only: list[str] | None = None, ignore_gaps: bool = False) -> DataFrame:
+    """``key``, offset (from 0, 5' to 3'), pid at every base of each region; null where no single column holds the base."""
+    from spanloom.operators.predicates import is_positive
+
+    spread = regions.where("start < end").select(key, "chrom", "start", "end", "strand", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end") - F.col("start") - 1)).alias("offset"))
+    pos = F.when(is_positive(F.col("strand")), F.col("start") + F.col("offset")).otherwise(F.col("end") - 1 - F.col("offset"))
+    pid = pid_by_position(genome_cells(blocks, reference, missing, only), ignore_gaps)
+    return spread.select(key, "chrom", pos.alias("pos"), "offset").join(pid, ["chrom", "pos"], "left").select(key, "offset", "pid")
+
+
 def conservation_profile(regions: DataFrame, blocks: DataFrame, reference: str, window: int, missing: str = GAPS, only: list[str] | None = None, ignore_gaps: bool = False) -> DataFrame:
     """offset (from 0, 5' to 3'), pid: mean share of the commonest symbol over all regions' windows of that size.
 

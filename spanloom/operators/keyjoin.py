@@ -40,6 +40,18 @@ def check_header(names: list[str], key: str) -> None:
         raise InvalidHeaderError(f"no column {key}")
 
 
+def joined_header(first: list[str] | None, second: list[str] | None, n_first: int, n_second: int, missing: str | None = None) -> list[str] | None:
+    """The joined table's header: none if neither table has one; a table without one gets ``missing`` in each cell.
+
+    ``n_second`` counts the second table's columns in the result. Tables of which one has a header need ``missing``.
+    """
+    if first is None and second is None:
+        return None
+    if (first is None or second is None) and missing is None:
+        raise InvalidHeaderError("one table with and one without a header need a missing value")
+    return [*(first if first is not None else [missing] * n_first), *(second if second is not None else [missing] * n_second)]
+
+
 def _blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 

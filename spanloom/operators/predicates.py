@@ -82,13 +82,21 @@ def transform_center(size: int, start: Column | None = None, end: Column | None
     return new, new + size
 
 
-def anchor_window(anchor: str, width: int, start: Column | None = None, end: Column | None = None, strand: Column | None = None) -> tuple[Column, Column]:
-    """(start, end) of a window of ``width`` about an anchor: ``start`` or ``end`` (5' and 3' side) or ``middle``."""
+def anchor_window(anchor: str, width: int, start: Column | None = None, end: Column | None = None) -> tuple[Column, Column]:
+    """(start, end) of a window of ``width`` about a region's ``start``, ``end`` or ``middle``, whatever its strand.
+
+    Halves are rounded down: an odd window has its longer half before a start and after an end or a middle.
+    """
     start, end = F.col("start") if start is None else start, F.col("end") if end is None else end
-    strand = F.col("strand") if strand is None else strand
-    five, three = F.when(is_positive(strand), start).otherwise(end - 1), F.when(is_positive(strand), end - 1).otherwise(start)
-    at = {"start": five, "end": three, "middle": start + F.floor((end - start) / 2).cast("long")}[anchor]
-    return at - width // 2, at - width // 2 + width
+    half = width // 2
+    if anchor == "start":
+        return start + half - width, start + half
+    if anchor == "end":
+        return end - half, end - half + width
+    if anchor == "middle":
+        mid = start + F.floor((end - start) / 2).cast("long")
+        return mid - half, mid - half + width
+    raise ValueError(f"unknown anchor {anchor}")
 
 
 def relative_position(pos: Column, anchor: str, start: Column, end: Column, strand: Column) -> Column:

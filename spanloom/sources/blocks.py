@@ -1,8 +1,8 @@
 """Block formats: FASTA, FASTQ, fixed-step WIG, MAF, repeat alignments.
 
 Where a record's first line can be told by itself (FASTA, MAF), the file is read with that as the line separator, so it
-is still split. Formats with state from line to line (FASTQ, fixed-step WIG, repeat alignments) are read a file at a
-time; give such data as many files. Parsers are generators over Arrow batches.
+is still split, fixed-step WIG at its headers. Formats with state from line to line (FASTQ, repeat alignments) are read a
+file at a time; give such data as many files. Parsers are generators over Arrow batches.
 """
 
 from __future__ import annotations
@@ -128,7 +128,9 @@ def parse_fixed_wig(text: str) -> Iterator[tuple[str, int, int, float]]:
 
 
 def read_fixed_wig(spark: SparkSession, path: str | list[str], score: str = "double") -> DataFrame:
-    out = _parsed(_whole(spark, path), "chrom string, start long, end long, score double", lambda p, t: parse_fixed_wig(t))
+    # a header begins a run of its own, so files are split there
+    runs = spark.read.option("lineSep", "\nfixedStep").text(path).select(F.col(PATH).alias("p"), F.when(F.col("value").rlike(r"\A\s+chrom="), F.concat(F.lit("fixedStep"), "value")).otherwise(F.col("value")).alias("value"))
+    out = _parsed(runs, "chrom string, start long, end long, score double", lambda p, t: parse_fixed_wig(t))
     return out.withColumn("score", F.col("score").cast(score))
 
 
@@ -173,11 +175,12 @@ def parse_maf(where: str, text: str) -> Iterator[tuple]:
 
 
 def read_maf(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per block and sequence; the file is split at blocks. A block's id is its file and a hash of its text."""
+    """One row per block and sequence; the file is split at blocks. A block's id is its file, the split it was read in and
+    its number there, so equal blocks stay apart."""
     df = spark.read.option("lineSep", "\na").text(path)
     body = F.when(F.col("value").rlike("^a?[ \t]*(\r?\n|[^\n#]*=)") & ~F.col("value").startswith("##"), F.concat(F.lit("a "), F.regexp_replace("value", "^a(?=[ \t\r\n])", "")))
     # what stands before the first block is the preamble; a file may also begin with a block
-    rows = df.select(F.concat_ws("#", F.substring_index(F.col(PATH), "/", -1), F.xxhash64("value").cast("string")).alias("p"), F.coalesce(body, F.col("value")).alias("value"))
+    rows = df.select(F.concat_ws("#", F.substring_index(F.col(PATH), "/", -1), F.col("_metadata.file_block_start").cast("string"), F.monotonically_increasing_id().cast("string")).alias("p"), F.coalesce(body, F.col("value")).alias("value"))
     return _parsed(rows, MAF, lambda p, t: parse_maf(p, t) if t.startswith("a") or "\na" in t else iter(()))
 
 

@@ -77,13 +77,12 @@ def read_wig(spark: SparkSession, path: str | list[str], score: str = "double")
 
 
 def read_wig_any(spark: SparkSession, path: str | list[str], score: str = "double") -> DataFrame:
-    """WIG files of either form; each file is what its first line says."""
+    """WIG files of either form; each file is what its first line says, and an empty one is left out."""
     from spanloom.sources.blocks import read_fixed_wig
 
-    raw = spark.read.text(path).select(F.col(PATH).alias("p"), "value").where("value rlike '\\\\S'")
-    fixed = [r.p for r in raw.where("value like 'fixedStep%'").select("p").distinct().collect()]
-    every = [r.p for r in raw.select("p").distinct().collect()]
-    rest = [p for p in every if p not in set(fixed)]
+    raw = spark.read.text(path).where("value rlike '\\\\S'").select(F.col(PATH).alias("p"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), F.left("value", F.lit(9)).alias("v")).alias("line"))
+    kinds = raw.groupBy("p").agg(F.min_by("line.v", F.struct("line.b", "line.i")).alias("v")).collect()
+    fixed, rest = [r.p for r in kinds if r.v == "fixedStep"], [r.p for r in kinds if r.v != "fixedStep"]
     parts = ([read_fixed_wig(spark, fixed, score)] if fixed else []) + ([read_wig(spark, rest, score)] if rest else [])
     if not parts:
         return spark.createDataFrame([], f"chrom string, start long, end long, score {score}")
@@ -155,6 +154,18 @@ def read_repeats(spark: SparkSession, path: str | list[str], header: bool = True
     return parse_repeats(df.where("trim(value) rlike '^[0-9]'") if header else df)
 
 
+def names_match(a: Column, b: Column) -> Column:
+    """Two names of a repeat alignment agree if one begins with the other."""
+    n = F.least(F.length(a), F.length(b))
+    return F.left(a, n) == F.left(b, n)
+
+
+def with_alignments(annotations: DataFrame, alignments: DataFrame) -> DataFrame:
+    """``annotations`` with ``alignment``, a struct of the repeat alignment of the same uniq_id; null where there is none."""
+    rows = alignments.select(F.col("uniq_id").alias("_u"), F.struct(*[c for c in alignments.columns if c != "uniq_id"]).alias("alignment"))
+    return annotations.join(rows, F.col("uniq_id") == F.col("_u"), "left").drop("_u")
+
+
 def read_enrichment(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Enrichment tables of 13 tab-separated fields with a header: category, identifier, name, pvalue (corrected)."""
     df = spark.read.text(path).where("value rlike '\\\\S'").withColumn("f", F.split("value", "\t", -1))

@@ -42,10 +42,10 @@ def test_entry(spark):
     assert df.columns == ["chrom", "start", "end", "name", "strand", "score"] and df.count() > 0
 
 
-@pytest.mark.parametrize(("anchor", "strand", "want"), [("start", "+", (8, 12)), ("start", "-", (17, 21)), ("end", "+", (17, 21)), ("middle", "-", (13, 17)), ("start", None, (8, 12))])
-def test_anchor_window(spark, anchor, strand, want):
-    df = spark.createDataFrame([(10, 20, strand)], "start long, end long, strand string")
-    assert tuple(df.select(*predicates.anchor_window(anchor, 4)).first()) == want
+@pytest.mark.parametrize(("anchor", "width", "want"), [("start", 4, (8, 12)), ("start", 5, (7, 12)), ("end", 4, (19, 23)), ("end", 5, (19, 24)), ("middle", 4, (13, 17)), ("middle", 5, (13, 18))])
+def test_anchor_window(spark, anchor, width, want):
+    df = spark.createDataFrame([(10, 21, "-")], "start long, end long, strand string")
+    assert tuple(df.select(*predicates.anchor_window(anchor, width)).first()) == want
 
 
 def test_equality_of_intervals(spark):
