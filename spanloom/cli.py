@@ -42,7 +42,7 @@ def _key(x: str) -> tuple[str, bool]:
 
 
 def join(a: argparse.Namespace) -> None:
-    from spanloom.operators.keyjoin import join_tables
+    from spanloom.operators.keyjoin import join_tables, joined_header
     from spanloom.sources.text import read_table
 
     s = session()
@@ -55,8 +55,10 @@ def join(a: argparse.Namespace) -> None:
     else:
         out = join_tables(left.drop("_o1"), right.drop("_o2"), ka, kb, a.duplicates, a.missing, a.ignore_missing, a.unpaired)
     lines = _lines(out)
-    if ha or hb:
-        lines = s.createDataFrame([("\t".join(out.columns),)], "value string").union(lines)
+    n = len(left.columns) - 1
+    head = joined_header(out.columns[:n] if ha else None, out.columns[n:] if hb else None, n, len(out.columns) - n, a.missing)
+    if head:
+        lines = s.createDataFrame([("\t".join(head),)], "value string").union(lines)
     emit(lines, a.output)
 
 

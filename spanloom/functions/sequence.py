@@ -1,7 +1,8 @@
 """Functions of nucleotide sequences and of reads with qualities, as columns.
 
 Sequences are strings with ``-`` for gaps; positions are as each function says. All are built-in expressions that
-stay inside code generation, but for the search of an adaptor, which compares whole Arrow batches; nulls give null.
+stay inside code generation, but for two that work on Arrow batches (adaptors, pieces by position); nulls
+give null.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StringType
 
 #: Complements, both cases; N stays N.
 DNA, DNA_C = "ACGTNacgtn", "TGCANtgcan"
@@ -213,23 +214,25 @@ def gapped_subsequence(seq: Column | str, start: Column, strand: Column, remaini
     return F.struct(piece.alias("seq"), new.alias("start"), (new + inside).alias("end"), (remaining + F.when(F.coalesce(strand, F.lit("+")) == "-", before).otherwise(after)).alias("remaining"))
 
 
+@F.pandas_udf(StringType())
+def _bases_between(seq: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+    """The piece from base ``lo`` to before base ``hi`` (counted from 0), without gaps at its rims."""
+    out = []
+    for s, a, b in zip(seq, lo, hi):
+        if s is None or pd.isna(a) or pd.isna(b):
+            out.append(None)
+            continue
+        at = np.flatnonzero(np.frombuffer(s.encode("utf-32-le"), np.uint32) != ord("-"))[max(0, int(a)) : max(0, int(b))]
+        out.append(s[at[0] : at[-1] + 1] if len(at) else "")
+    return pd.Series(out, dtype=object)
+
+
 def subsequence(seq: Column | str, start: Column, first: Column, stop: Column) -> Column:
     """The gapped piece that holds the bases at absolute positions [first, stop) of a sequence that begins at ``start``.
 
-    Gaps inside the piece are kept, those at its rims are not. The bases before the piece and those up to its end are
-    skipped by one regular expression each (in steps of a thousand, the most a bounded repeat should have).
+    Gaps inside the piece are kept, those at its rims are not.
     """
-    s = _s(seq)
-    lo, hi = F.greatest(first - start, F.lit(0).cast("long")), F.greatest(stop - start, F.lit(0).cast("long"))
-
-    def after(n: Column) -> Column:
-        # length of the shortest beginning with n bases
-        step = F.concat(F.lit(r"\A(?:(?:-*+[^-]){1000}){"), F.floor(n / 1000).cast("string"), F.lit(r"}(?:-*+[^-]){"), (n % 1000).cast("string"), F.lit("}"))
-        return F.length(F.coalesce(F.regexp_substr(s, step), F.lit("")))
-
-    bases = F.length(F.replace(s, F.lit("-"), F.lit(""))).cast("long")
-    a, b = after(F.least(lo, bases)), after(F.least(hi, bases))
-    return F.when(F.least(hi, bases) <= F.least(lo, bases), F.lit("")).otherwise(F.regexp_replace(F.substring(s, a + 1, b - a), r"\A-+", ""))
+    return _bases_between(_s(seq), (first - start).cast("long"), (stop - start).cast("long"))
 
 
 def equal_sequences(a: str, b: str) -> Column:

@@ -68,6 +68,12 @@ def paired(
     return out.select(*cols)
 
 
+def with_next(df: DataFrame, by: list[str], order: list[str], tag: str = "next_") -> DataFrame:
+    """Each row with the one after it in its group, as ``next_*`` columns; nulls for a group's last (give bounded groups)."""
+    following = Window.partitionBy(*by).orderBy(*order)
+    return df.select("*", *[F.lead(c).over(following).alias(f"{tag}{c}") for c in df.columns if c not in by])
+
+
 def trimmed_name(name: Column, junction: bool, paired_end: bool) -> Column:
     """Read names without a trailing ``%x`` and then a trailing ``.x`` (one character each)."""
     if paired_end and not junction:

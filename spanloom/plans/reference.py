@@ -552,24 +552,202 @@ def m01_bh(spark, d):
     return stats.correct_pvalues(v.pvals(spark, d), "p").select("o_orderkey", F.round("q", 9).alias("q"))
 
 
-@query()
+_FISHER = """with t as (select l_suppkey, count(*) filter (l_returnflag = 'A' and l_linestatus = 'F') as a, count(*) filter (l_returnflag = 'A' and l_linestatus = 'O') as b,
+  count(*) filter (l_returnflag = 'R' and l_linestatus = 'F') as c, count(*) filter (l_returnflag = 'R' and l_linestatus = 'O') as d from lineitem group by 1),
+s as (select *, a + c as m, b + d as n, a + b as k from t),
+x as (select *, unnest(generate_series(greatest(0, k - n), least(k, m))) as i from s),
+w as (select l_suppkey, a, i, exp(lgamma(m + 1.0) - lgamma(i + 1.0) - lgamma(m - i + 1.0) + lgamma(n + 1.0) - lgamma(k - i + 1.0) - lgamma(n - k + i + 1.0) - lgamma(m + n + 1.0) + lgamma(k + 1.0) + lgamma(m + n - k + 1.0)) as p from x),
+o as (select l_suppkey, p as here from w where i = a)
+select l_suppkey, round(sum(case when p <= here * (1 + 1e-7) then p else 0 end), 7) as p from w join o using (l_suppkey) group by 1"""
+
+
+@query(_FISHER)
 def m03_fisher(spark, d):
     t = table(spark, d, "lineitem").groupBy("l_suppkey").agg(*[F.sum(F.when((F.col("l_returnflag") == f) & (F.col("l_linestatus") == s), 1).otherwise(0)).alias(f"{f}{s}") for f in "AR" for s in "FO"])
-    return t.select("l_suppkey", stats.fisher_exact("AF", "AO", "RF", "RO").alias("x")).select("l_suppkey", "x.p", "x.odds_ratio")
+    return t.select("l_suppkey", stats.fisher_exact("AF", "AO", "RF", "RO").alias("x")).select("l_suppkey", F.round("x.p", 7).alias("p"))
+
 
+_BETAS = """with v as (select p_partkey, p_size + 0.5 as a, p_partkey % 20 + 1.0 as b, (p_partkey % 99 + 0.5) / 100 as x from part),
+j as (select p_partkey, a, b, x, unnest(generate_series(0, cast(b as bigint) - 1)) as j from v),
+i as (select p_partkey, sum(exp(a * ln(x) + lgamma(a + j) - lgamma(a) - lgamma(j + 1.0) + j * ln(1 - x))) as inc from j group by 1)"""
 
-@query()
+
+@query(_BETAS + " select p_partkey, round(exp(lgamma(a) + lgamma(b) - lgamma(a + b)), 9) as beta, round(inc, 9) as inc, round(exp((a - 1) * ln(x) + (b - 1) * ln(1 - x) - lgamma(a) - lgamma(b) + lgamma(a + b)), 9) as pdf, round(inc, 9) as cdf from v join i using (p_partkey)")
 def m04_beta(spark, d):
     p = table(spark, d, "part").selectExpr("p_partkey", "p_size + 0.5D as a", "p_partkey % 20 + 1.0D as b", "(p_partkey % 99 + 0.5D) / 100 as x")
-    return p.select("p_partkey", stats.beta("a", "b").alias("beta"), stats.reg_incomplete_beta("a", "b", "x").alias("inc"), stats.beta_pdf("x", "a", "b").alias("pdf"), stats.beta_cdf("x", "a", "b").alias("cdf"))
+    return p.select("p_partkey", *[F.round(c, 9).alias(n) for n, c in (("beta", stats.beta("a", "b")), ("inc", stats.reg_incomplete_beta("a", "b", "x")), ("pdf", stats.beta_pdf("x", "a", "b")), ("cdf", stats.beta_cdf("x", "a", "b")))])
+
+
+@query("with p as (select ((o_orderkey * 7919) % 100003 + 1) / 100004.0 as p, o_orderkey from orders), r as (select *, row_number() over (order by p, o_orderkey) as rn, count(*) over () as n, (select sum(1.0 / i) from generate_series(1, (select count(*) from orders)) t(i)) as h from p) select o_orderkey, round(least(1.0, min(p * n * h / rn) over (order by rn desc rows unbounded preceding)), 7) as q from r")
+def m01_by(spark, d):
+    return stats.correct_pvalues(v.pvals(spark, d), "p", method="BY").select("o_orderkey", F.round("q", 7).alias("q"))
 
 
-@query()
+@query("select cast(10000 as bigint) as draws, cast(0 as bigint) as strangers, true as near")
 def m07_weighted_choice(spark, d):
-    c = stats.weighted_choice(table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("w")), "p_partkey", "w", 10_000, seed=7)
-    return c.groupBy("p_partkey").agg(F.count("*").alias("draws"))
+    """What must hold of any draw: its size, that only candidates are drawn, and that each share is near its weight's."""
+    c = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("w"))
+    n = stats.weighted_choice(c, "p_partkey", "w", 10_000, seed=7).groupBy("p_partkey").agg(F.count("*").alias("n"))
+    both = n.join(c, "p_partkey", "full").select(F.coalesce("n", F.lit(0)).alias("n"), "w")
+    one = both.agg(F.sum("n").alias("draws"), F.count(F.when(F.col("w").isNull() | ((F.col("w") <= 0) & (F.col("n") > 0)), 1)).alias("strangers"), F.corr("n", "w").alias("r"), F.sum(F.col("n") * F.col("w")).alias("nw"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww"))
+    # the mean weight of what is drawn is the weights' own mean weight, give or take
+    return one.select("draws", "strangers", (F.abs(F.col("nw") / F.col("draws") / (F.col("sww") / F.col("sw")) - 1) < 0.03).alias("near"))
 
 
-@query()
+@query("select cast(1001 as bigint) as n, true as one, true as positive")
 def m08_random_probabilities(spark, d):
-    return stats.random_probabilities(spark, 1000, seed=3)
+    p = stats.random_probabilities(spark, 1000, seed=3)
+    return p.agg(F.count("*").alias("n"), (F.abs(F.sum("p") - 1) < 1e-9).alias("one"), (F.min("p") >= 0).alias("positive"))
+
+
+# --- what else there is of sequences, reads, intervals and alignments
+
+
+@query(f"""{with_('seqs')}, z as (select doc_id, replace(seq, 'N', '-') as s, length(replace(seq, 'N', '')) as n from seqs),
+c as (select doc_id, s, n, unnest(generate_series(1, length(s))) as i from z), r as (select *, sum(case when substr(s, cast(i as int), 1) <> '-' then 1 else 0 end) over (partition by doc_id order by i rows unbounded preceding) as rk, substr(s, cast(i as int), 1) <> '-' as base from c),
+m as (select doc_id, min(i) filter (base and rk > n // 3) as a, max(i) filter (base and rk <= 2 * n // 3) as b from r group by 1)
+select doc_id, case when a is null or b is null or a > b then '' else substr(s, cast(a as int), cast(b - a + 1 as int)) end as piece from z join m using (doc_id)""")
+def q04_subsequence(spark, d):
+    s = v.seqs(spark, d).select("doc_id", F.replace("seq", F.lit("N"), F.lit("-")).alias("s"), F.length(F.replace("seq", F.lit("N"), F.lit(""))).cast("long").alias("n"))
+    start = F.lit(1000).cast("long")
+    return s.select("doc_id", sq.subsequence("s", start, start + F.expr("n div 3"), start + F.expr("2 * n div 3")).alias("piece"))
+
+
+@query(f"{with_('seqs')} select doc_id, true as itself, doc_id % 2 <> 0 as other from seqs")
+def q18_equality(spark, d):
+    s = v.seqs(spark, d).select("doc_id", *[x for t in "ab" for x in (F.col("seq").alias(f"{t}_seq"), F.col("name").alias(f"{t}_name"), F.lit(1).alias(f"{t}_start"), F.length("seq").alias(f"{t}_end"), F.lit(None).cast("long").alias(f"{t}_remaining"))])
+    meta = lambda k: F.create_map(F.lit("x"), F.lit("1"), F.lit("y"), k)
+    s = s.withColumns({"a_meta": meta(F.lit("2")), "b_meta": F.create_map(F.lit("y"), F.lit("2"), F.lit("x"), F.lit("1"))})
+    other = s.withColumn("b_meta", meta(F.when(F.col("doc_id") % 2 == 0, "3").otherwise("2")))
+    return s.select("doc_id", sq.equal_sequences("a_", "b_").alias("itself")).join(other.select("doc_id", sq.equal_sequences("a_", "b_").alias("other")), "doc_id")
+
+
+@query(f"{with_('seqs')} select doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) as seq, reverse(translate(seq, 'ACGTN', 'IHGF#')) as qual from seqs")
+def q21_read_reverse_complement(spark, d):
+    return v.fastq(spark, d).select("doc_id", sq.reverse_complement_read(rna=False).alias("x")).select("doc_id", "x.seq", "x.qual")
+
+
+@query(f"""{with_('seqs')}, h as (select *, length(seq) // 2 as k, translate(seq, 'ACGTN', 'IHGF#') as qual from seqs)
+select name || '.1' as name, substr(seq, 1, k) as seq, substr(qual, 1, k) as qual from h union all select name || '.2', substr(seq, k + 1), substr(qual, k + 1) from h""")
+def q22_read_split(spark, d):
+    return v.fastq(spark, d).select(F.explode(sq.split_read()).alias("x")).select("x.*")
+
+
+@query(f"{with_('seqs')} select name, seq || reverse(seq) as seq, translate(seq, 'ACGTN', 'IHGF#') || reverse(translate(seq, 'ACGTN', 'IHGF#')) as qual from seqs")
+def q23_merge_reads(spark, d):
+    r = v.fastq(spark, d).select(F.col("name").alias("a_name"), F.col("seq").alias("a_seq"), F.col("qual").alias("a_qual"), F.concat("name", F.lit("x")).alias("b_name"), F.reverse("seq").alias("b_seq"), F.reverse("qual").alias("b_qual"))
+    name, seq, qual = sq.merge_reads("a", "b", force=True)
+    return r.select(name.alias("name"), seq.alias("seq"), qual.alias("qual"))
+
+
+@query(f"{with_('seqs')}, w as (select doc_id, seq, unnest(generate_series(-9, greatest(length(seq) - 10, -1))) as i from seqs) select doc_id, coalesce(bool_or({_HITS} >= 8 and substr(seq, cast(greatest(i, 0) + 1 as int)) <> repeat('N', cast(length(seq) - greatest(i, 0) as int))), false) as has from w group by 1")
+def q24_contains_adaptor(spark, d):
+    return v.seqs(spark, d).select("doc_id", sq.contains_adaptor("seq", F.lit("AGATCGGAAGAGC")).alias("has"))
+
+
+@query("select doc_id, 'kernel=' || kernel || ' lang=' || lang as meta, case when doc_id % 2 = 0 then 'a=1 b=3 c=4' else 'a=1 b=2 c=4' end as merged from documents where kernel is not null and lang is not null")
+def q25_meta(spark, d):
+    t = table(spark, d, "documents").where("kernel is not null and lang is not null")
+    first, second = F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")), F.create_map(F.when(F.col("doc_id") % 2 == 0, "b").otherwise("c"), F.when(F.col("doc_id") % 2 == 0, "3").otherwise("4"), F.when(F.col("doc_id") % 2 == 0, "c").otherwise("d"), F.lit("4"))
+    second = F.map_filter(second, lambda k, _: k != "d")
+    return t.select("doc_id", sq.meta_to_string(F.create_map(F.lit("lang"), F.col("lang"), F.lit("kernel"), F.col("kernel"))).alias("meta"), sq.meta_to_string(sq.merge_maps(first, second)).alias("merged"))
+
+
+@query(f"{with_('seqs')} select doc_id, cast(case when doc_id % 2 = 0 then 77 else length(seq) end as bigint) as n from seqs")
+def q26_unknown_sequence(spark, d):
+    s = v.seqs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 != 0, F.col("seq")).alias("s"), F.length("seq").alias("n"))
+    return s.select("doc_id", sq.unknown_len("s", F.lit(5).cast("long"), F.when(F.col("s").isNull(), F.lit(82).cast("long")).otherwise(F.col("n") + 5)).alias("n"))
+
+
+@query(f"{with_('visits')}, p as (select a.event_id, a.chrom is not distinct from b.chrom and a.\"start\" = b.\"start\" and a.\"end\" = b.\"end\" and a.name = b.name and a.strand is not distinct from b.strand as same, a.score = b.score as s from visits a join (select event_id, chrom, \"start\", \"end\", name, score + case when event_id % 3 = 0 then 1 else 0 end as score, case when event_id % 5 = 1 then '-' else strand end as strand from visits) b using (event_id)) select event_id, same, same and s as equal from p")
+def s02_equality(spark, d):
+    a = v.visits(spark, d)
+    b = a.withColumns({"score": F.col("score") + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0), "strand": F.when(F.col("event_id") % 5 == 1, "-").otherwise(F.col("strand"))})
+    j = overlap.prefixed(a, "a").join(overlap.prefixed(b, "b"), F.col("a_event_id") == F.col("b_event_id"))
+    return j.select(F.col("a_event_id").alias("event_id"), predicates.same_region().alias("same"), predicates.equal().alias("equal"))
+
+
+@query(f"{with_('rois')} select name, \"start\" + 15 - 31 as s_start, \"start\" + 15 as s_end, \"end\" - 15 as e_start, \"end\" - 15 + 31 as e_end, \"start\" + (\"end\" - \"start\") // 2 - 15 as m_start, \"start\" + (\"end\" - \"start\") // 2 - 15 + 31 as m_end from rois")
+def s10_anchor_windows(spark, d):
+    cols = [c.alias(f"{k[0]}_{n}") for k in ("start", "end", "middle") for c, n in zip(predicates.anchor_window(k, 31), ("start", "end"))]
+    return v.regions(spark, d).select("name", *cols)
+
+
+@query(f"{with_('visits')}, o as (select *, lead(\"start\") over (partition by chrom order by \"start\", event_id) as n, lead(event_id) over (partition by chrom order by \"start\", event_id) as e from visits) select event_id, e as next_event, n - \"end\" as hole from o")
+def s11_next_interval(spark, d):
+    got = paired.with_next(v.visits(spark, d).select("chrom", "start", "end", "event_id"), ["chrom"], ["start", "event_id"])
+    return got.select("event_id", F.col("next_event_id").alias("next_event"), (F.col("next_start") - F.col("end")).alias("hole"))
+
+
+@query(f"{with_('rois')} select name, \"start\" from rois")
+def s12_assert_sorted(spark, d):
+    return overlap.assert_sorted(v.regions(spark, d), "start", lambda: F.struct("start", "name")).select("name", "start")
+
+
+@query(f"""{with_('seqs', 'blocks', 'cells')}, {_PID},
+r as (select 'r' || o_orderkey as name, o_orderkey * 997 as s, case when o_orderkey % 2 = 0 then '+' else '-' end as strand from orders),
+w as (select name, s + i as pos, case when strand = '+' then i else 39 - i end as "offset" from r, generate_series(0, 39) t(i))
+select name, "offset", round(pid, 9) as pid from w left join pids using (pos)""")
+def a05_region_profiles(spark, d):
+    r = table(spark, d, "orders").selectExpr("concat('r', o_orderkey) as name", "'chr1' as chrom", "o_orderkey * 997 as start", "o_orderkey * 997 + 40 as end", "if(o_orderkey % 2 = 0, '+', '-') as strand")
+    return alignment.region_profiles(r, v.blocks(spark, d), "A").select("name", "offset", F.round("pid", 9).alias("pid"))
+
+
+@query(f"""{with_('rois', 'occ', 'reads')}, q as (select distinct o.*, o."start" as gs, o."end" as ge, r."start" as qs, r."end" as qe from occ o join (select distinct chrom, "start", "end" from reads) r on o.chrom = r.chrom and r."start" < o."end" and o."start" < r."end"),
+z as (select *, ge - gs as n, (c_end - c_start) - (ge - gs) as d, greatest(qs - gs, 0) as a, greatest(qe - gs, 0) as b from q),
+g as (select *, greatest(n // greatest(-d, 1), 1) as gi, greatest(cast(ceil(n / greatest(d, 1)) as bigint), 1) as gd, least(b, n) as t from z),
+e as (select name, case when strand = '-' then c_end - least(b, n) else a + c_start end as s, case when strand = '-' then c_end - a else least(b + c_start, c_len) end as e from g where d = 0
+union all select name, case when strand = '-' then greatest(c_end - b + b // gi, c_start) else a + c_start - a // gi end, case when strand = '-' then least(c_end - a + a // gi, c_end) else least(b + c_start - b // gi, c_len) end from g where d < 0
+union all select name, case when strand = '-' then greatest(c_end - y - k, c_start) else c_start + x + k end, case when strand = '-' then c_end - x - k else least(c_start + y + k, c_end) end
+from (select *, greatest(a, k * gd) as x, least(t, (k + 1) * gd) as y from (select *, unnest(generate_series(a // gd, (t - 1) // gd)) as k from g where d > 0 and t > a))),
+p as (select name, unnest(generate_series(s, e - 1)) as pos from e where s < e) select name, pos, count(*) as depth from p group by all""")
+def a10_lifted_coverage(spark, d):
+    """Reads laid on the repeats' occurrences, lifted to the consensus and counted there."""
+    r = v.reads(spark, d).select("chrom", "start", "end").distinct()
+    lifted = liftover.liftover_occurrences(r, v.occurrences(spark, d).distinct())
+    return profile.consensus_coverage(lifted.select("name", F.col("lift_start").alias("start"), F.col("lift_end").alias("end")))
+
+
+def _repeat_rows(spark, d):
+    """The blocks as alignments of a genome and a repeat, in the columns of ``read_repeat_alignments``."""
+    b = v.blocks(spark, d)
+    side = lambda n, p: b.where(f"name = '{n}'").select(F.col("block"), *[F.col(c).alias(f"{p}_{c}") for c in ("seq", "start", "end", "strand")])
+    return side("A.chr1", "q").join(side("B.chr1", "r"), "block").withColumn("uniq_id", F.col("block").cast("string"))
+
+
+@query(f"""{with_('seqs', 'blocks', 'cells')}, {_RUNS}, w as (select c.block, c.isl, min(o.pos) as s, max(o.pos) + 1 as e from c join cells o on o.block = c.block and o.col = c.col and o.name = 'B.chr1' and o.pos is not null where c.name = 'A.chr1' group by all),
+g as (select block, "start" as gs, "end" as ge from blocks where name = 'A.chr1' and "start" < "end")
+select name, lift_start, lift_end from (
+select 'f' || w.block % 7 as name, s as lift_start, e as lift_end from w join g using (block) where w.block % 2 = 0
+union all select 'f' || block % 7, 0, ge - gs from g where block % 2 <> 0)""")
+def l05_occurrence_liftover(spark, d):
+    """Even blocks are lifted through their alignment, odd ones by their coordinates."""
+    rows = _repeat_rows(spark, d).where("q_start < q_end")
+    occ = rows.selectExpr("concat('chr', block) as chrom", "q_start as start", "q_end as end", "'+' as strand", "concat('f', block % 7) as name", "0L as c_start", "q_end - q_start as c_end", "q_end - q_start as c_len", "uniq_id")
+    got = liftover.liftover_occurrences(occ.select("chrom", "start", "end"), occ, rows.where("block % 2 = 0"))
+    return got.select("name", "lift_start", "lift_end")
+
+
+@query(f"""{with_('seqs', 'blocks')}, b as (select block, max(length(seq)) as n from blocks group by 1)
+select block, case when block % 3 = 0 and n > 0 then 'sequences of unequal length' when block % 3 = 1 then 'a name occurs twice' when block % 3 = 2 then 'coordinates don''t fit' end as reason from b where block % 3 <> 0 or n > 0""")
+def l10_block_checks(spark, d):
+    b = v.blocks(spark, d)
+    second = F.col("name") == "B.chr1"
+    bad = b.withColumns({
+        "seq": F.when(second & (F.col("block") % 3 == 0), F.expr("substring(seq, 2)")).otherwise(F.col("seq")),
+        "name": F.when(second & (F.col("block") % 3 == 1), "A.chr1").otherwise(F.col("name")),
+        "end": F.when(second & (F.col("block") % 3 == 2), F.col("end") + 1).otherwise(F.col("end")),
+    })
+    return alignment.check_blocks(bad)
+
+
+@query(f"{with_('seqs', 'blocks')} select block, 'chr1' || chr(9) || \"start\" || chr(9) || \"end\" as key, 'chr1' as chrom, \"start\", \"end\" from blocks where name = 'A.chr1'")
+def l11_block_key(spark, d):
+    g = alignment.genome_blocks(v.blocks(spark, d), "A")
+    keyed = g.select("block", alignment.block_key(F.col("chrom"), F.col("start"), F.col("end")).alias("key"))
+    return keyed.select("block", "key", alignment.parse_block_key(F.col("key")).alias("x")).select("block", "key", "x.*")
+
+
+@query(f"{with_('seqs', 'blocks')} select block, max(length(seq)) as size, count(*) as num_seqs from blocks group by 1")
+def l12_block_sizes(spark, d):
+    return alignment.block_sizes(v.blocks(spark, d))
