@@ -98,10 +98,13 @@ def read_wig_directory(spark: SparkSession, path: str, chroms: list[str] | None
 def read_table(spark: SparkSession, path: str, header: bool = True, sep: str = "\t") -> DataFrame:
     """A delimited table, all strings. Leading and trailing empty columns are kept, blank lines skipped, ragged rows fail.
 
-    The header is the first line of each file; without one, columns are c1, c2, ... ``ord`` gives the order of a file's rows.
+    The header is the first line of the first file by name, and is left out wherever a file begins with it; without one,
+    columns are c1, c2, ... ``ord`` gives the order of a file's rows.
     """
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).where("value <> ''").withColumn("ord", F.monotonically_increasing_id())
-    first = spark.read.text(path).where("value <> ''").first()
+    raw = spark.read.text(path)
+    text = raw.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).where("value <> ''").withColumn("ord", F.monotonically_increasing_id())
+    firsts = (spark.read.text(f).where("value <> ''").first() for f in sorted(raw.inputFiles()))
+    first = next((x for x in firsts if x is not None), None)
     if first is None:
         raise ValueError(f"empty table {path}")
     names = first.value.split(sep)
@@ -109,12 +112,14 @@ def read_table(spark: SparkSession, path: str, header: bool = True, sep: str = "
     rows = text.withColumn("f", F.split("value", f"\\Q{sep}\\E", -1))
     if header:
         # each file's first line, if it is the header: a table may be stored in several files, a file read in several blocks
-        firsts = text.groupBy("_file").agg(F.min_by(F.struct("ord", "value"), F.struct("_block", "ord")).alias("h")).where(F.col("h.value") == first.value)
-        rows = rows.join(F.broadcast(firsts.select(F.col("h.ord").alias("_head"))), F.col("ord") == F.col("_head"), "left_anti")
+        heads = text.groupBy("_file").agg(F.min_by(F.struct("ord", "value"), F.struct("_block", "ord")).alias("h")).where(F.col("h.value") == first.value)
+        rows = rows.join(F.broadcast(heads.select(F.col("h.ord").alias("_head"))), F.col("ord") == F.col("_head"), "left_anti")
     else:
         names = [f"c{i}" for i in range(1, n + 1)]
     rows = rows.where(F.when(F.size("f") == n, True).otherwise(_fail("ragged row", F.col("value"), "boolean")))
-    return rows.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(names)], "ord")
+    # a generator, so that no later filter is evaluated on header lines
+    fields = F.struct(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    return rows.select("ord", F.inline(F.array(fields))).select(*[f"`{c}`" for c in names], "ord")
 
 
 def read_exon_counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
