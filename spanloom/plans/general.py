@@ -102,6 +102,8 @@ SQL = {
     "p1_found": f"with {_ORPHANS} select * from o",
     "p1_report": f"with {_ORPHANS} select src_table, period, cause, count(*) as n_orphans from o group by all",
     "p2_found": f"with {_lines()} select line_id, reason from z where reason is not null",
+    "p2_edits": f"""with {_lines()} select record_kind, reason, count(*) as n_lines,
+        cast(min(case when reason <> 'column_count' then 1 when record_kind = 'bed' then greatest(3 - n, n - 6) else abs(n - 2) end) as bigint) as least_edits from z where reason is not null group by all""",
     "p2_loaded_bed": f"""with {_lines()} select line_id, v1 as chrom, cast(v2 as bigint) as start, try_cast(v3 as bigint) as "end", case when n > 3 then v4 end as name,
         round(case when n > 4 then cast(v5 as double) end, 6) as score, case when n > 5 then v6 end as strand from z where reason is null and record_kind = 'bed'""",
     "p2_loaded_counts": f"with {_lines()} select line_id, v1 as name, cast(v2 as int) as count from z where reason is null and record_kind = 'exon_counts'",
