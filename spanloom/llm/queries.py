@@ -53,4 +53,9 @@ p as (
     case when e0 <= e + 98000 then e0 else coalesce((select max(pos) from b where b.chrom = p.chrom and pos > p.e + 48000 and pos <= p.e + 98000), e + 98000) end
   from p where e < e0)
 select region_id, piece_no, s as piece_start, e as piece_end from p""",
+    "p5_texts": f"""
+with b as (select doc_id, case when length(text) <= {TEXT_LIMIT} then [text] else regexp_extract_all(text, '{split.text_pattern(TEXT_LIMIT - TEXT_OVERLAP, TEXT_OVERLAP)}') end as bodies from documents where length(text) > 0),
+p as (select doc_id, unnest(bodies) as body, generate_subscripts(bodies, 1) as i from b),
+s as (select *, coalesce(sum(length(body)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as before from p)
+select doc_id, cast(i as int) as piece_no, cast(before - case when i > 1 then {TEXT_OVERLAP} else 0 end as int) as piece_start, cast(length(body) + case when i > 1 then {TEXT_OVERLAP} else 0 end as int) as piece_chars from s""",
 }
