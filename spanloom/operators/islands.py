@@ -37,24 +37,13 @@ def _heads(rows: DataFrame, keys: list[str], start: str, end: str) -> tuple[Data
 def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = WIDTH) -> DataFrame:
     """One row per maximal stretch without a break: ``keys``, start, end, and ``prev_end``, the end of the one before.
 
-    Touching intervals are one stretch. Null, empty and reversed intervals take no part; null keys are a key.
+    Touching intervals are one stretch. Null, empty and reversed intervals take no part; null keys are a key. One sweep
+    over the ends (``sweep.runs``).
     """
-    rows = sliced(df.select(*keys, start, end), start, end, width)
-    at = [*keys, "_slice"]
-    seen, reach = _heads(rows, keys, start, end)
-    heads = seen.where(F.col("_prev").isNull() | (F.col(start) > F.col("_prev")))
-    in_slice, by_key = Window.partitionBy(*at).orderBy(start), Window.partitionBy(*keys).orderBy("_slice")
-    # a stretch ends at the next head's ``_prev``; the last one of a slice asks the slices after it
-    firsts = heads.groupBy(*at).agg(F.min_by("_prev", start).alias("_first"), F.lit(None).cast("long").alias("_reach"))
-    ends = reach.select(*at, F.lit(None).cast("long").alias("_first"), F.col("_reach")).unionByName(firsts)
-    ends = ends.groupBy(*at).agg(F.max("_first").alias("_first"), F.max("_reach").alias("_reach"))
-    after = F.first("_first", ignorenulls=True).over(by_key.rowsBetween(1, Window.unboundedFollowing))
-    ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(at)], F.coalesce(after, F.max("_reach").over(Window.partitionBy(*keys))).alias("_after"))
-    full = heads.withColumn("_next", F.lead("_prev").over(in_slice))
-    same = F.lit(True)
-    for i, c in enumerate(at):
-        same &= full[c].eqNullSafe(ends[f"_k{i}"])
-    return full.join(ends, same).select(*keys, F.col(start).alias("start"), F.coalesce("_next", "_after").alias("end"), F.col("_prev").alias("prev_end"))
+    from spanloom.operators.sweep import events, runs
+
+    rows = df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end"))
+    return runs(events(rows, keys, 0, 1), keys, 1, F.col("depth0") > 0, F.col("_was0") > 0, width)
 
 
 def members(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = WIDTH) -> DataFrame:

@@ -104,11 +104,35 @@ def stab_join(points: DataFrame, intervals: DataFrame, pos: str = "pos", closed:
 def count_overlaps(regions: DataFrame, reads: DataFrame) -> DataFrame:
     """``regions`` with ``n_overlaps``, how many reads overlap each; zero where none does. Equal regions stay apart.
 
-    Only the regions' identity passes through the join: pairs are counted per region at once (map-side), then joined back.
+    Counted by a sweep over both sides' ends, without pairs (``sweep.counts``). Only where there are empty or reversed
+    regions or reversed reads (one small aggregation tells) are those joined and counted as pairs.
     """
+    from spanloom.operators import sweep
+
+    reads = reads.select("chrom", "start", "end")
+    proper, upright = F.col("start") < F.col("end"), F.col("start") <= F.col("end")
+    odd = regions.agg(F.count(F.when(~F.coalesce(proper, F.lit(False)), 1)).alias("n"), F.lit(0).alias("side")).unionByName(reads.agg(F.count(F.when(~upright, 1)).alias("n"), F.lit(1).alias("side")))
+    odd = {r.side: r.n for r in odd.collect()}
+    if not odd[0] and not odd[1]:
+        return sweep.counts(regions, reads)
+    out = sweep.counts(regions.where(proper), reads)
+    if odd[1]:
+        out = _added(out, _count_pairs(regions.where(proper), reads.where(~upright)), regions.columns)
+    rest = regions.where(~F.coalesce(proper, F.lit(False)))
+    return out.unionByName(_count_pairs(rest, reads)) if odd[0] else out
+
+
+def _added(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
+    """Two counts of the same rows added up."""
+    both = a.select(*cols, "n_overlaps", F.lit(1).alias("_one")).unionByName(b.select(*cols, "n_overlaps", F.lit(0).alias("_one")))
+    out = both.groupBy(*cols).agg(F.sum("n_overlaps").alias("n"), F.sum("_one").cast("int").alias("_copies")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return out.select(*cols, (F.col("n") / F.col("_copies")).cast("long").alias("n_overlaps"))
+
+
+def _count_pairs(regions: DataFrame, reads: DataFrame) -> DataFrame:
     cols = regions.columns
     keyed = regions.groupBy(*cols).agg(F.count("*").alias("_copies"))
-    hits = overlap_join(keyed.select(*cols), reads.select("chrom", "start", "end"), known=levels(regions, reads))
+    hits = overlap_join(keyed.select(*cols), reads, known=levels(regions, reads))
     counts = hits.groupBy(*[f"a_{c}" for c in cols]).agg(F.count("*").alias("n_overlaps"))
     same = F.lit(True)
     for c in cols:

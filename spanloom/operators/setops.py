@@ -1,6 +1,6 @@
 """Set operations on half-open intervals: union, exact collapse, intersection, Jaccard index, subtraction.
 
-All of them run on ``islands`` and ``overlap_join``, so no chromosome is ever one task's work.
+All of them run on ``sweep``, ``islands`` and ``overlap_join``, so no chromosome is ever one task's work.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.common import cut
 from spanloom.operators.islands import islands, members
 from spanloom.operators.overlap import overlap_join
+from spanloom.operators.sweep import depths, events, runs
 
 
 def collapse(df: DataFrame, stranded: bool = False, width: int = 1 << 20) -> DataFrame:
@@ -44,25 +45,30 @@ def collapse_exact(df: DataFrame, order: str, stranded: bool = False, combine_na
     return df.groupBy(*keys).agg(names.alias("name"), *first).select("chrom", "start", "end", "name", "score", "strand")
 
 
+def _two_sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    rows = [x.where(F.col("strand").isin("+", "-")) for x in (a, b)]
+    return events(rows[0], ["chrom"], 0, 2).unionByName(events(rows[1], ["chrom"], 1, 2))
+
+
 def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Intersection of the two unions; touching stretches share nothing."""
-    # each union is read twice by the join (levels, rows), so it is written once to the shared folder
-    pairs = overlap_join(cut(collapse(a)), cut(collapse(b)))
-    return pairs.select(F.col("a_chrom").alias("chrom"), F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"), F.lit("X").alias("name"), F.lit(0).cast("long").alias("score"), F.lit("+").alias("strand"))
+    """Intersection of the two unions; touching stretches share nothing. One sweep over the ends of both sides.
+
+    Where one stretch of a union ends and the next begins at once, they are one stretch, as in ``collapse``.
+    """
+    both = lambda x: (F.col(f"{x}0") > 0) & (F.col(f"{x}1") > 0)
+    out = runs(_two_sides(a, b), ["chrom"], 2, both("depth"), both("_was"))
+    return out.select("chrom", "start", "end", F.lit("X").alias("name"), F.lit(0).cast("long").alias("score"), F.lit("+").alias("strand"))
 
 
 def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: shared bases over bases of the union, with both numbers; null if both sides are empty.
 
-    By inclusion and exclusion |A and B| = |A| + |B| - |A or B|, so three unions suffice and no join is needed.
+    One sweep over the ends of both sides gives the depth of either over each stretch.
     """
-    def bases(df: DataFrame, name: str) -> DataFrame:
-        return collapse(df).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("n")).withColumn("side", F.lit(name))
-
-    cols = ["chrom", "start", "end", "strand"]
-    all_rows = bases(a, "a").unionByName(bases(b, "b")).unionByName(bases(a.select(cols).unionByName(b.select(cols)), "u"))
-    n = {s: F.max(F.when(F.col("side") == s, F.col("n"))) for s in "abu"}
-    out = all_rows.agg((n["a"] + n["b"] - n["u"]).alias("shared"), n["u"].alias("total"))
+    d = depths(_two_sides(a, b), ["chrom"], 2).where("until is not null")
+    n = F.col("until") - F.col("pos")
+    out = d.agg(F.sum(F.when((F.col("depth0") > 0) & (F.col("depth1") > 0), n).otherwise(0)).alias("s"), F.sum(F.when((F.col("depth0") > 0) | (F.col("depth1") > 0), n).otherwise(0)).alias("t"))
+    out = out.select(F.coalesce("s", F.lit(0)).cast("long").alias("shared"), F.coalesce("t", F.lit(0)).cast("long").alias("total"))
     return out.select("shared", "total", F.try_divide(F.col("shared"), F.col("total")).alias("jaccard"))
 
 

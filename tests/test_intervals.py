@@ -157,3 +157,48 @@ def test_consensus_coverage_and_gaps(spark):
     df = spark.createDataFrame([("r", 1, 4), ("r", 2, 6), ("s", 5, 5)], "name string, start long, end long")
     assert rows(profile.consensus_coverage(df)) == [("r", 1, 1), ("r", 2, 2), ("r", 3, 2), ("r", 4, 1), ("r", 5, 1)]
     assert rows(setops.gaps(iv(spark, ("c", 1, 3), ("c", 7, 9), ("c", 2, 5)))) == [("c", 5, 7)]
+
+
+def test_counts_without_pairs_equal_pairs(spark):
+    import random
+
+    from spanloom.operators import overlap, sweep
+
+    rnd = random.Random(11)
+
+    def some(n, odd):
+        return [(rnd.choice(["a", "b", None]) if i % 4 else "hot", s := rnd.randrange(-40, 300), s + rnd.choice([1, 2, 9, 80, *odd]), i % 7) for i in range(n)]
+
+    for odd_a, odd_b in (([], []), ([], [0]), ([0, -3], [0]), ([0, -3], [0, -2])):
+        a, b = some(200, odd_a), some(400, odd_b)
+        a += a[:9]
+        want = sorted((str(c), s, e, k, sum(1 for d, x, y, _ in b if c is not None and c == d and x < e and s < y)) for c, s, e, k in a)
+        ra, rb = spark.createDataFrame(a, "chrom string, start long, end long, k int"), spark.createDataFrame(b, "chrom string, start long, end long, k int")
+        got = sorted((str(r[0]), *r[1:]) for r in overlap.count_overlaps(ra, rb).collect())
+        assert got == want
+    got = sorted((str(r[0]), *r[1:]) for r in sweep.counts(ra.where("start < end"), rb.where("start <= end"), width=8).collect())
+    assert got == sorted((str(c), s, e, k, sum(1 for d, x, y, _ in b if c is not None and c == d and x <= y and x < e and s < y)) for c, s, e, k in a if s < e)
+
+
+def test_stretches_and_depths_across_slices(spark):
+    import random
+
+    from spanloom.operators import islands, setops, sweep
+
+    rnd = random.Random(2)
+    sides = [[(rnd.choice("ab"), s := rnd.randrange(-30, 400), s + rnd.choice([0, 1, 3, 9, 120, -4]), "+") for _ in range(60)] for _ in range(2)]
+    covered = [{(c, x) for c, s, e, _ in side for x in range(s, e)} for side in sides]
+    a, b = (spark.createDataFrame(s, "chrom string, start long, end long, strand string") for s in sides)
+    bits = lambda rows: {(r.chrom, x) for r in rows for x in range(r.start, r.end)}
+    for width in (4, 1 << 20):
+        rows = islands.islands(a, ["chrom"], width=width).collect()
+        assert bits(rows) == covered[0] and sum(r.end - r.start for r in rows) == len(covered[0])
+        assert all((c, r.start - 1) not in covered[0] and (c, r.end) not in covered[0] for r in rows for c in [r.chrom])
+    shared = setops.intersection(a, b).collect()
+    assert bits(shared) == covered[0] & covered[1] and all((r.chrom, r.end) not in covered[0] & covered[1] for r in shared)
+    j = setops.jaccard(a, b).first()
+    assert (j.shared, j.total) == (len(covered[0] & covered[1]), len(covered[0] | covered[1]))
+    d = sweep.depths(sweep.events(a, ["chrom"], 0, 1), ["chrom"], 1, width=4).where("until is not null").collect()
+    for r in d:
+        assert r.depth0 == sum(1 for c, s, e, _ in sides[0] if c == r.chrom and s <= r.pos < e)
+    assert setops.jaccard(a.limit(0), b.limit(0)).first().jaccard is None
