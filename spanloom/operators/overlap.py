@@ -1,7 +1,7 @@
 """Overlap (range) joins of half-open intervals by multi-level bins.
 
 Spark has no interval join, and an equi-join on the sequence name alone compares all pairs of a chromosome. Here each
-interval has a level by its length (bins of 2**10, 2**14, ... bases) and lies in at most two bins of its own level or of a
+interval has a level by its length (bins of 2**8, 2**10, 2**12, 2**14, 2**18, ... bases) and lies in at most two bins of its own level or of a
 coarser one. Two intervals meet at the coarser of their levels: the shorter one is also laid into the other side's
 coarser levels that really occur there (a handful, found by one small aggregation). So long intervals never multiply into
 many bins, short ones never meet intervals far away, and the join is an ordinary equi-join that shuffles on
@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = (10, 14, 18, 22, 26, 30, 34, 38, 42, 46, 50, 54, 58, 62)
+BITS = (8, 10, 12, 14, 18, 22, 26, 30, 34, 38, 42, 46, 50, 54, 58, 62)
 
 
 def _level(start: Column, end: Column) -> Column:
@@ -25,9 +25,12 @@ def _level(start: Column, end: Column) -> Column:
     return out.cast("int")
 
 
+def _levels_of(df: DataFrame, start: str, end: str) -> DataFrame:
+    return df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(_level(F.col(start), F.col(end)).alias("l"))
+
+
 def _present(df: DataFrame, start: str, end: str) -> list[int]:
-    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(_level(F.col(start), F.col(end)).alias("l")).distinct().collect()
-    return sorted(r.l for r in rows if r.l is not None)
+    return sorted(r.l for r in _levels_of(df, start, end).distinct().collect())
 
 
 def _shift(c: Column, bits: Column) -> Column:
@@ -50,9 +53,11 @@ def prefixed(df: DataFrame, tag: str) -> DataFrame:
 
 
 def levels(a: DataFrame, b: DataFrame, closed: bool = False) -> tuple[list[int], list[int]]:
-    """The levels that occur on either side: one scan of two columns each. Take it from the cheapest form of a side."""
+    """The levels that occur on either side: one job, a scan of two columns each. Take it from the cheapest form of a side."""
     reach = 1 if closed else 0
-    return tuple(_present(d.withColumn("_end", F.col("end") + reach), "start", "_end") for d in (a, b))
+    sides = [_levels_of(d.withColumn("_end", F.col("end") + reach), "start", "_end").select("l", F.lit(i).alias("side")) for i, d in enumerate((a, b))]
+    found = sides[0].unionByName(sides[1]).distinct().collect()
+    return tuple(sorted(r.l for r in found if r.side == i) for i in (0, 1))
 
 
 def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", closed: bool = False, strand: bool = False, known: tuple[list[int], list[int]] | None = None) -> DataFrame:

@@ -40,19 +40,14 @@ def paired(
     keys = ["chrom", "start", "end"] + [c for c, skip in (("strand", ignore_strand), ("name", ignore_name), ("score", ignore_score)) if not skip]
     fields = [f for f in FIELDS if f in streams[0].columns]
     keys = [k for k in keys if k in fields]
-    full = [*keys, "_ord"]
-    out = None
-    for i, s in enumerate(streams):
-        one = _numbered(s.select(*fields, *(order or [])), keys, [F.col(c).asc_nulls_first() for c in (order or fields)])
-        one = one.select(*[F.col(k).alias(f"_{i}{k}") for k in full], *[F.col(c).alias(f"s{i}_{c}") for c in fields], F.lit(True).alias(f"_has{i}"))
-        if out is None:
-            out = one.withColumnsRenamed({f"_0{k}": k for k in full})
-            continue
-        how = "full" if mirror else "inner"
-        on = reduce(lambda x, y: x & y, [out[k].eqNullSafe(one[f"_{i}{k}"]) for k in full])
-        out = out.join(one, on, how)
-        have = F.col(f"_has{i}")
-        out = out.withColumns({k: F.when(have, F.col(f"_{i}{k}")).otherwise(F.col(k)) for k in full}).drop(*[f"_{i}{k}" for k in full])
+    # all streams as one, numbered; windows and groups then work on the one shuffle by key
+    every = reduce(DataFrame.unionByName, [s.select(*fields, *(c for c in (order or []) if c not in fields), F.lit(i).alias("_i")) for i, s in enumerate(streams)])
+    every = _numbered(every.repartition(*keys), [*keys, "_i"], [F.col(c).asc_nulls_first() for c in (order or fields)])
+    row = F.struct(*fields)
+    out = every.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], "_ord").agg(*[F.max(F.when(F.col("_i") == i, row)).alias(f"_s{i}") for i in range(len(streams))])
+    if not mirror:
+        out = out.where(" and ".join(f"_s{i} is not null" for i in range(len(streams))))
+    out = out.select(*[x for i in range(len(streams)) for x in (F.col(f"_s{i}").isNotNull().alias(f"_has{i}"), *[F.col(f"_s{i}")[c].alias(f"s{i}_{c}") for c in fields])])
     cols = []
     for i in range(len(streams)):
         for c in fields:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,25 +28,41 @@ def overlap_profile(regions: DataFrame, hits: DataFrame, anchor: str = "START",
     pairs = overlap_join(points, regions.select("chrom", "start", "end", "strand"))
     rel = relative_position(F.col("a_start"), anchor, F.col("b_start"), F.col("b_end"), F.col("b_strand"))
     counts = pairs.select(rel.alias("pos")).groupBy("pos").agg(F.count("*").alias("n"))
-    top = counts.agg(F.max("pos").alias("top")).where("top is not null")
-    dense = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("pos"))
+    top = counts.agg(F.max("pos")).first()[0]
+    dense = regions.sparkSession.range(0 if top is None else top + 1).select(F.col("id").alias("pos"))
     out = dense.join(counts, "pos", "left").select("pos", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
     if not normalize:
         return out.select("pos", F.col("n").alias("value"))
-    # how many regions are longer than each position: one row per region length, then a running count over positions
+    # how many regions are longer than each position: a running count over lengths, within slices of positions
     lengths = regions.where("start < end").select((F.col("end") - F.col("start")).alias("pos")).groupBy("pos").agg(F.count("*").alias("m"))
-    total = lengths.agg(F.sum("m").alias("all"))
     line = out.select("pos", "n", F.lit(0).cast("long").alias("m")).unionByName(lengths.select("pos", F.lit(None).cast("double").alias("n"), "m"))
-    line = line.groupBy("pos").agg(F.max("n").alias("n"), F.sum("m").alias("m"))
-    upto = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = line.withColumn("ended", F.sum("m").over(upto)).where("n is not null").join(F.broadcast(total))
-    return line.select("pos", F.try_divide(F.col("n"), F.col("all") - F.col("ended")).alias("value"))
+    line = line.groupBy("pos").agg(F.max("n").alias("n"), F.sum("m").alias("m")).withColumn("_slice", F.shiftright("pos", 12))
+    # one row a slice: regions over all, and those that end before it
+    ends = lengths.groupBy(F.shiftright("pos", 12).alias("_s")).agg(F.sum("m").alias("m"))
+    slices = line.select("_slice").distinct().join(ends, F.col("_slice") == F.col("_s"), "left")
+    slices = slices.select(F.col("_slice").alias("_k"), F.coalesce(F.sum("m").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("m").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    upto = Window.partitionBy("_slice").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = line.withColumn("_m", F.sum("m").over(upto)).where("n is not null").join(slices, F.col("_slice") == F.col("_k"))
+    return line.select("pos", F.try_divide(F.col("n"), F.col("_all") - F.col("_before") - F.col("_m")).alias("value"))
+
+
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequences -> (pos, nuc, n) of the batch, counted over one flat array of their symbols."""
+    for b in batches:
+        texts = [t for t in b.column(0).to_pylist() if t]
+        if not texts:
+            continue
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.array([len(t) for t in texts])
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        cell, n = np.unique(pos << 21 | flat, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cell >> 21, pa.int32()), pa.array([chr(c) for c in (cell & 0x1FFFFF).tolist()], pa.string()), pa.array(n, pa.int64())], ["pos", "nuc", "n"])
 
 
 def nucleotide_distribution(reads: DataFrame, seq: str = "seq") -> DataFrame:
     """pos (from 0), nuc, n: how often each symbol stands at each position of the reads, by case."""
-    cells = reads.where(F.length(seq) > 0).select(F.posexplode(F.split(F.col(seq), "")).alias("pos", "nuc"))
-    return cells.groupBy("pos", "nuc").agg(F.count("*").alias("n"))
+    cells = reads.where(F.length(seq) > 0).select(seq).mapInArrow(_symbols, "pos int, nuc string, n long")
+    return cells.groupBy("pos", "nuc").agg(F.sum("n").alias("n"))
 
 
 def consensus_coverage(occurrences: DataFrame) -> DataFrame:

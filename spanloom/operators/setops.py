@@ -72,23 +72,25 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("shared", "total", F.try_divide(F.col("shared"), F.col("total")).alias("jaccard"))
 
 
-def subtract(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     """``a`` without the bases of ``b``: no, one or several fragments per row, with the row's other columns.
 
-    ``key`` names a column that is unique in ``a``. Strand is ignored. The holes of one row are ordered by a window over
-    that row's key alone. Rows of ``a`` that meet nothing pass through; empty ones vanish.
+    Strand is ignored. A fragment is the overlap of a row with a gap of ``b``'s union, so rows are joined to the gaps
+    between its stretches; what lies before its first and after its last stretch of a chrom comes from one row per chrom.
+    Rows of ``a`` that meet nothing pass through (those of a null chrom too), repeated ones each; empty ones vanish.
     """
     # null strands count here, so the union is taken without the strand rule
-    holes = cut(islands(b.select("chrom", "start", "end"), ["chrom"]).select("chrom", "start", "end"))
-    pairs = overlap_join(a.select(key, "chrom", "start", "end"), holes).select(F.col(f"a_{key}").alias("_key"), F.col("b_start").alias("hs"), F.col("b_end").alias("he"))
-    near = pairs.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("hs", "he"))).alias("holes"))
-    full = a.join(near, a[key] == near["_key"], "left").where("start < end")
-    holes_ = F.coalesce("holes", F.array().cast("array<struct<hs:bigint,he:bigint>>"))
-    begins = F.concat(F.array("start"), F.transform(holes_, lambda h: F.greatest(h["he"], F.col("start"))))
-    ends = F.concat(F.transform(holes_, lambda h: F.least(h["hs"], F.col("end"))), F.array("end"))
-    bits = F.filter(F.arrays_zip(begins.alias("fs"), ends.alias("fe")), lambda x: x["fs"] < x["fe"])
-    out = full.withColumn("_f", F.explode(bits))
-    return out.withColumns({"start": F.col("_f.fs"), "end": F.col("_f.fe")}).select(*a.columns)
+    holes = cut(islands(b.where("chrom is not null"), ["chrom"]))
+    rows = a.where("start < end")
+    ends = holes.groupBy(F.col("chrom").alias("_c")).agg(F.min("start").alias("_first"), F.max("end").alias("_last"))
+    outer = rows.join(ends, rows["chrom"] == ends["_c"], "left")
+    piece = lambda s, e: F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"))
+    rims = F.when(F.col("_c").isNull(), F.array(piece(F.col("start"), F.col("end")))).otherwise(F.array(piece(F.col("start"), F.least("end", "_first")), piece(F.greatest("start", "_last"), F.col("end"))))
+    outer = outer.withColumn("_f", F.explode(F.filter(rims, lambda x: x["s"] < x["e"])))
+    outer = outer.select(*[(F.col("_f.s") if c == "start" else F.col("_f.e") if c == "end" else rows[c]).alias(c) for c in a.columns])
+    inner = overlap_join(rows, holes.where("prev_end is not null").select("chrom", F.col("prev_end").alias("start"), F.col("start").alias("end")))
+    cuts = {"start": F.greatest("a_start", "b_start"), "end": F.least("a_end", "b_end")}
+    return outer.unionByName(inner.select(*[cuts.get(c, F.col(f"a_{c}")).alias(c) for c in a.columns]))
 
 
 def gaps(df: DataFrame) -> DataFrame:

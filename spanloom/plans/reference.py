@@ -281,7 +281,7 @@ pts as (select * from h union all select name, "start", "end", "end" from rois),
 g as (select name, greatest(a_s, coalesce(max(he) over (partition by name order by hs, he rows between unbounded preceding and 1 preceding), a_s)) as s, hs as e from pts)
 select name, s as "start", e as "end" from g where s < e""")
 def i07_subtract(spark, d):
-    return setops.subtract(v.regions(spark, d), v.reads(spark, d), "name").select("name", "start", "end")
+    return setops.subtract(v.regions(spark, d), v.reads(spark, d)).select("name", "start", "end")
 
 
 @query("select l_suppkey, l_linenumber from lineitem where l_returnflag = 'A' intersect all select l_suppkey, l_linenumber from lineitem where l_returnflag = 'R'")

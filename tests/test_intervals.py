@@ -72,8 +72,8 @@ def test_intersection_and_jaccard(spark):
 def test_subtract(spark):
     a = iv(spark, ("chr1", 10, 100, "x"), ("chr4", 1, 5, "pass"), ("chr1", 16, 18, "gone"))
     b = iv(spark, ("chr1", 1, 8), ("chr1", 15, 20), ("chr1", 50, 60), ("chr1", 90, 120), ("chr2", 30, 40))
-    assert [(r[3], r[1], r[2]) for r in rows(setops.subtract(a, b, "name"))] == [("x", 10, 15), ("x", 20, 50), ("x", 60, 90), ("pass", 1, 5)]
-    assert setops.subtract(a, b.limit(0), "name").count() == 3
+    assert [(r[3], r[1], r[2]) for r in rows(setops.subtract(a, b))] == [("x", 10, 15), ("x", 20, 50), ("x", 60, 90), ("pass", 1, 5)]
+    assert setops.subtract(a, b.limit(0)).count() == 3
 
 
 def test_bucket_join(spark):
