@@ -4,18 +4,25 @@ An alignment block is a set of rows (block, name, seq, start, end, strand); ``se
 coordinates are known. Columns are counted from 1. Sequence positions are [start, end) on the positive strand; a sequence
 on the negative strand runs through them downwards.
 
-``cells`` lays an alignment out as one row per block, sequence and column; everything else is joins and grouping on
-cells. Cells of one block are grouped by (block, name), which a block's size bounds.
+Coordinates are mapped by ``stretches``: one row per gap-free run of a sequence, so the cost follows the gaps, not the
+bases. Conservation is computed over a block's rows side by side and stands in tiles of ``TILE`` positions. Only
+``cells`` lays an alignment out as one row per block, sequence and column.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.common import cut
+from spanloom.common import cut, once
 
 SKIP, GAPS = "SKIP", "TREAT_AS_ALL_GAPS"
+#: Positions of a tile of conservation values.
+TILE = 1024
 
 
 def check_blocks(blocks: DataFrame) -> DataFrame:
@@ -75,9 +82,57 @@ def _bases(c: Column) -> Column:
     return F.length(F.replace(c, F.lit("-"), F.lit("")))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def stretches(blocks: DataFrame) -> DataFrame:
+    """block, name, col, col_end, pos, pos_end, neg: one row per run of columns without a gap in a sequence.
+
+    [col, col_end) are its columns, [pos, pos_end) its bases on the positive strand; ``neg`` says that they run downwards.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, out = [], ([], [], [], [], [])
+            for r, (seq, start, end, strand) in enumerate(zip(*(b.column(i).to_pylist() for i in range(2, 6)))):
+                base = np.r_[0, (_codes(seq) != ord("-")).view(np.int8), 0]
+                edge = np.flatnonzero(np.diff(base))
+                first, stop = edge[::2], edge[1::2]
+                done = np.cumsum(stop - first)
+                before, neg = done - (stop - first), strand == "-"
+                row.append(np.full(len(first), r))
+                places = (first + 1, stop + 1, *((end - done, end - before) if neg else (start + before, start + done)), np.full(len(first), neg))
+                for column, x in zip(out, places):
+                    column.append(x)
+            at = pa.array(np.concatenate(row or [np.zeros(0)]).astype(np.int64))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *[pa.array(np.concatenate(x or [np.zeros(0)]).astype(k.to_pandas_dtype()), k) for x, k in zip(out, kinds)]], ["block", "name", "col", "col_end", "pos", "pos_end", "neg"])
+
+    rows = blocks.where("seq is not null and seq <> ''").select("block", "name", "seq", F.col("start").cast("long"), F.col("end").cast("long"), F.coalesce("strand", F.lit("+")).alias("strand"))
+    return rows.mapInArrow(run, f"block {blocks.schema['block'].dataType.simpleString()}, name string, col long, col_end long, pos long, pos_end long, neg boolean")
+
+
 def columns_at(blocks: DataFrame, wanted: DataFrame, missing: str = SKIP) -> DataFrame:
-    """Symbols (name, nuc) in the wanted (block, col)."""
-    return cells(blocks, missing).join(wanted, ["block", "col"]).select("block", "col", "name", "nuc")
+    """Symbols (name, nuc) in the wanted (block, col); only those places are read."""
+    if missing not in (SKIP, GAPS):
+        raise ValueError(f"unknown handling of missing sequences {missing}")
+    rows = blocks.select("block", "name", "seq")
+    if missing == GAPS:
+        width = F.max(F.length("seq")).over(Window.partitionBy("block"))
+        rows = rows.withColumn("seq", F.coalesce("seq", F.repeat(F.lit("-"), width.cast("int"))))
+    out = wanted.groupBy("block").agg(F.collect_set("col").alias("_cols")).join(rows.where("seq is not null"), "block")
+    # the text is laid out once a row, so many wanted columns cost no more than its length
+    symbols = F.transform("_cols", lambda c: F.struct(c.alias("col"), F.get("_text", c.cast("int") - 1).alias("nuc")))
+    out = once(out.select("block", "name", "_cols", "seq"), _text=F.split("seq", "")).select("block", "name", F.explode(symbols).alias("x"))
+    return out.where("x.nuc is not null and x.nuc <> ''").select("block", "x.col", "name", "x.nuc")
+
+
+def _stretches_of(blocks: DataFrame, queries: DataFrame, name: str, tag: str) -> tuple[DataFrame, Column]:
+    """The stretches with columns prefixed by ``tag``, and the condition that they are of a query's block and sequence."""
+    s = stretches(blocks)
+    s = s.select(*[F.col(c).alias(f"{tag}{c}") for c in s.columns])
+    return s, (F.col("block") == F.col(f"{tag}block")) & (F.col(name) == F.col(f"{tag}name"))
 
 
 def column_to_sequence(blocks: DataFrame, queries: DataFrame, trim: bool = False) -> DataFrame:
@@ -90,17 +145,23 @@ def column_to_sequence(blocks: DataFrame, queries: DataFrame, trim: bool = False
     outside = (F.col("first") < 1) | (F.col("stop") > F.col("_w") + 1) | (F.col("first") >= F.col("stop"))
     if not trim:
         q = q.withColumn("first", F.when(outside, F.raise_error(F.lit("columns outside the alignment")).cast("long")).otherwise(F.col("first")))
-    c = cells(blocks).where("pos is not null").withColumnsRenamed({"block": "_cb", "name": "_cn"})
-    out = q.join(c, (F.col("block") == F.col("_cb")) & (F.col("name") == F.col("_cn")) & (F.col("col") >= F.col("first")) & (F.col("col") < F.col("stop")), "left")
-    out = out.groupBy("_q").agg(F.min("pos").alias("seq_start"), (F.max("pos") + 1).alias("seq_end"))
+    s, on = _stretches_of(blocks, q, "name", "_c_")
+    out = q.join(s, on & (F.col("_c_col") < F.col("stop")) & (F.col("first") < F.col("_c_col_end")), "left")
+    skip, more = F.greatest(F.col("first") - F.col("_c_col"), F.lit(0)), F.greatest(F.col("_c_col_end") - F.col("stop"), F.lit(0))
+    lo = F.col("_c_pos") + F.when(F.col("_c_neg"), more).otherwise(skip)
+    hi = F.col("_c_pos_end") - F.when(F.col("_c_neg"), skip).otherwise(more)
+    out = out.groupBy("_q").agg(F.min(lo).alias("seq_start"), F.max(hi).alias("seq_end"))
     return out.select("_q.*", "seq_start", "seq_end")
 
 
-def _runs(df: DataFrame, by: list[str]) -> DataFrame:
-    """Consecutive columns as runs, numbered in column order."""
-    w = Window.partitionBy(*by).orderBy("col")
-    marked = df.withColumn("_island", F.col("col") - F.row_number().over(w))
-    return marked
+def _pieces(blocks: DataFrame, queries: DataFrame, name: str) -> DataFrame:
+    """The queries' positions as gap-free runs of columns: the queries' columns, col_start and col_end."""
+    s, on = _stretches_of(blocks, queries, name, "_c_")
+    out = queries.join(s, on & (F.col("_c_pos") < F.col("stop")) & (F.col("first") < F.col("_c_pos_end")))
+    low, high = F.greatest(F.col("first") - F.col("_c_pos"), F.lit(0)), F.greatest(F.col("_c_pos_end") - F.col("stop"), F.lit(0))
+    begin = F.col("_c_col") + F.when(F.col("_c_neg"), high).otherwise(low)
+    end = F.col("_c_col_end") - F.when(F.col("_c_neg"), low).otherwise(high)
+    return out.select(*queries.columns, begin.alias("col_start"), end.alias("col_end")).where("col_start < col_end")
 
 
 def sequence_to_columns(blocks: DataFrame, queries: DataFrame, trim: bool = False) -> DataFrame:
@@ -114,11 +175,7 @@ def sequence_to_columns(blocks: DataFrame, queries: DataFrame, trim: bool = Fals
     if not trim:
         outside = (F.col("first") < F.col("_s")) | (F.col("stop") > F.col("_e")) | (F.col("first") >= F.col("stop"))
         q = q.withColumn("first", F.when(outside, F.raise_error(F.lit("positions outside the sequence")).cast("long")).otherwise(F.col("first")))
-    q = q.drop("_s", "_e").distinct()
-    c = cells(blocks).where("pos is not null").withColumnsRenamed({"block": "_cb", "name": "_cn"})
-    out = q.join(c, (F.col("block") == F.col("_cb")) & (F.col("name") == F.col("_cn")) & (F.col("pos") >= F.col("first")) & (F.col("pos") < F.col("stop")))
-    runs = _runs(out, ["block", "name", "first", "stop"])
-    return runs.groupBy("block", "name", "first", "stop", "_island").agg(F.min("col").alias("col_start"), (F.max("col") + 1).alias("col_end")).drop("_island")
+    return _pieces(blocks, q.select("block", "name", "first", "stop").distinct(), "name")
 
 
 def liftover(blocks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -127,15 +184,15 @@ def liftover(blocks: DataFrame, queries: DataFrame) -> DataFrame:
     Each gap-free run of the origin gives one piece, from its least to its greatest base on the other side; a run that
     meets only gaps gives none.
     """
-    c = cells(blocks).where("pos is not null")
-    a = c.select(F.col("block").alias("_b1"), F.col("name").alias("_n1"), "col", F.col("pos").alias("_p1"))
-    b = c.select(F.col("block").alias("_b2"), F.col("name").alias("_n2"), F.col("col").alias("_c2"), F.col("pos").alias("_p2"))
-    on = (F.col("block") == F.col("_b1")) & (F.col("origin") == F.col("_n1")) & (F.col("_p1") >= F.col("first")) & (F.col("_p1") < F.col("stop"))
-    here = _runs(queries.distinct().join(a, on), ["block", "origin", "dest", "first", "stop"])
-    both = here.join(b, (F.col("_b1") == F.col("_b2")) & (F.col("dest") == F.col("_n2")) & (F.col("col") == F.col("_c2")))
     by = ["block", "origin", "dest", "first", "stop"]
-    out = both.groupBy(*by, "_island").agg(F.min("col").alias("_c"), F.min("_p2").alias("dest_start"), (F.max("_p2") + 1).alias("dest_end"))
-    return out.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy("_c")).alias("piece"), "dest_start", "dest_end")
+    here = _pieces(blocks, queries.select(*by).distinct(), "origin")
+    s, on = _stretches_of(blocks, here, "dest", "_d_")
+    both = here.join(s, on & (F.col("_d_col") < F.col("col_end")) & (F.col("col_start") < F.col("_d_col_end")))
+    skip, more = F.greatest(F.col("col_start") - F.col("_d_col"), F.lit(0)), F.greatest(F.col("_d_col_end") - F.col("col_end"), F.lit(0))
+    lo = F.col("_d_pos") + F.when(F.col("_d_neg"), more).otherwise(skip)
+    hi = F.col("_d_pos_end") - F.when(F.col("_d_neg"), skip).otherwise(more)
+    out = both.groupBy(*by, "col_start").agg(F.min(lo).alias("dest_start"), F.max(hi).alias("dest_end"))
+    return out.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy("col_start")).alias("piece"), "dest_start", "dest_end")
 
 
 # --- genome alignments: blocks with a reference sequence named ``assembly.chrom``
@@ -175,31 +232,105 @@ def pid_by_position(gcells: DataFrame, ignore_gaps: bool = False) -> DataFrame:
     return out.where("b0 = b1 and best is not null").select("chrom", "pos", (F.col("best") / F.col("all")).alias("pid"))
 
 
+def pid_tiles(blocks: DataFrame, reference: str, missing: str = GAPS, only: list[str] | None = None, ignore_gaps: bool = False) -> DataFrame:
+    """chrom, start, end, block, pids: the share of the commonest symbol at each reference base, ``TILE`` bases a row.
+
+    The rows of a block come together once and are compared column by column as whole arrays. Gaps never are the
+    commonest; they count in the denominator unless ignored. A value is null where all that counts is gaps.
+    """
+    if missing not in (SKIP, GAPS):
+        raise ValueError(f"unknown handling of missing sequences {missing}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, starts, ends, pids = [], [], [], []
+            for r, (ref, start, neg, seqs) in enumerate(zip(*(b.column(i).to_pylist() for i in range(2, 6)))):
+                ref = _codes(ref)
+                at = np.flatnonzero(ref != ord("-"))
+                best, seen, filled = (np.zeros(len(at), np.int64) for _ in range(3))
+                symbols: dict[int, np.ndarray] = {}
+                for s in seqs:
+                    if s is None and missing == SKIP:
+                        continue
+                    x = np.full(len(ref), ord("-"), np.uint32) if s is None else _codes(s)
+                    x = np.pad(x, (0, max(0, len(ref) - len(x))))[: len(ref)][at]
+                    seen += x != 0
+                    filled += (x != 0) & (x != ord("-"))
+                    for c in np.unique(x).tolist():
+                        if c not in (0, ord("-")):
+                            symbols[c] = symbols.get(c, 0) + (x == c)
+                for n in symbols.values():
+                    best = np.maximum(best, n)
+                share = np.where(best > 0, best / np.maximum(filled if ignore_gaps else seen, 1), np.nan)
+                share = share[::-1] if neg else share
+                for k in range(0, len(share), TILE):
+                    row.append(r), starts.append(start + k), ends.append(start + min(k + TILE, len(share))), pids.append(pa.array(share[k : k + TILE], pa.float64(), from_pandas=True))
+            at = pa.array(row, pa.int64())
+            offsets = pa.array(np.cumsum([0, *map(len, pids)]), pa.int32())
+            values = pa.concat_arrays(pids) if pids else pa.array([], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(at), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), b.column(0).take(at), pa.ListArray.from_arrays(offsets, values)], ["chrom", "start", "end", "block", "pids"])
+
+    rows = _sided(blocks, reference)
+    counted = F.col("rows") if only is None else F.filter("rows", lambda r: F.substring_index(r["name"], ".", 1).isin(*only))
+    rows = rows.select("block", "chrom", F.col("r.seq").alias("ref"), F.col("s").cast("long"), "neg", F.transform(counted, lambda r: r["seq"]).alias("seqs"))
+    return rows.mapInArrow(run, f"chrom string, start long, end long, block {blocks.schema['block'].dataType.simpleString()}, pids array<double>")
+
+
+def _asked(windows: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, pos, pid at the bases of windows (``keys`` with chrom, start, end) that exactly one block holds."""
+    from spanloom.operators.overlap import overlap_join
+
+    pairs = overlap_join(windows, cut(tiles))
+    lo, hi = F.greatest("a_start", "b_start"), F.least("a_end", "b_end")
+    part = F.slice("b_pids", (lo - F.col("b_start") + 1).cast("int"), (hi - lo).cast("int"))
+    cells = pairs.select(*[F.col(f"a_{k}").alias(k) for k in keys], F.col("b_block").alias("_block"), lo.alias("_lo"), F.posexplode(part).alias("_i", "pid"))
+    one = cells.groupBy(*keys, (F.col("_lo") + F.col("_i")).alias("pos")).agg(F.min("_block").alias("_a"), F.max("_block").alias("_b"), F.min("pid").alias("pid"))
+    return one.where("_a = _b and pid is not null").select(*keys, "pos", "pid")
+
+
 def region_profiles(regions: DataFrame, blocks: DataFrame, reference: str, key: str = "name", missing: str = GAPS, only: list[str] | None = None, ignore_gaps: bool = False) -> DataFrame:
-    """``key``, offset (from 0, 5' to 3'), pid at every base of each region; null where no single column holds the base."""
+    """``key``, offset (from 0, 5' to 3'), pid at every base of each region; null where no single column holds the base.
+
+    ``key`` names a column that is unique in ``regions``. Only the tiles that regions meet are opened.
+    """
     from spanloom.operators.predicates import is_positive
 
-    spread = regions.where("start < end").select(key, "chrom", "start", "end", "strand", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end") - F.col("start") - 1)).alias("offset"))
-    pos = F.when(is_positive(F.col("strand")), F.col("start") + F.col("offset")).otherwise(F.col("end") - 1 - F.col("offset"))
-    pid = pid_by_position(genome_cells(blocks, reference, missing, only), ignore_gaps)
-    return spread.select(key, "chrom", pos.alias("pos"), "offset").join(pid, ["chrom", "pos"], "left").select(key, "offset", "pid")
+    rows = regions.where("start < end").select(key, "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), is_positive(F.col("strand")).alias("_up"))
+    keys = [key, "chrom", "start", "end", "_up"]
+    pid = _asked(rows, pid_tiles(blocks, reference, missing, only, ignore_gaps), keys)
+    offset = F.when(F.col("_up"), F.col("pos") - F.col("start")).otherwise(F.col("end") - 1 - F.col("pos"))
+    pid = pid.select(key, offset.alias("offset"), "pid")
+    spread = rows.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("end") - F.col("start") - 1)).alias("offset"))
+    return spread.join(pid, [key, "offset"], "left").select(key, "offset", "pid")
 
 
 def conservation_profile(regions: DataFrame, blocks: DataFrame, reference: str, window: int, missing: str = GAPS, only: list[str] | None = None, ignore_gaps: bool = False) -> DataFrame:
     """offset (from 0, 5' to 3'), pid: mean share of the commonest symbol over all regions' windows of that size.
 
-    Regions are re-centred to ``window``; positions without one alignment column are left out of the mean.
+    Regions are re-centred to ``window``; positions without one alignment column are left out of the mean. Without any
+    region there is no row.
     """
     from spanloom.operators.predicates import is_positive, transform_center
 
-    s, _ = transform_center(window)
-    spread = regions.withColumn("_s", s).select("chrom", "strand", "_s", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("offset"))
-    pos = F.when(is_positive(F.col("strand")), F.col("_s") + F.col("offset")).otherwise(F.col("_s") + (window - 1) - F.col("offset"))
-    # the same position is asked for by many regions: count them first
-    asked = spread.select("chrom", pos.alias("pos"), "offset").groupBy("chrom", "pos", "offset").agg(F.count("*").alias("n"))
-    pid = pid_by_position(genome_cells(blocks, reference, missing, only), ignore_gaps)
-    got = asked.join(pid, ["chrom", "pos"], "left").groupBy("offset")
-    return got.agg((F.sum(F.col("pid") * F.col("n")) / F.sum(F.when(F.col("pid").isNotNull(), F.col("n")))).alias("pid"))
+    s, e = transform_center(window)
+    # equal windows are looked up once
+    asked = regions.select("chrom", s.cast("long").alias("start"), e.cast("long").alias("end"), is_positive(F.col("strand")).alias("_up"))
+    asked = asked.groupBy("chrom", "start", "end", "_up").agg(F.count("*").alias("_n"))
+    pid = _asked(asked, pid_tiles(blocks, reference, missing, only, ignore_gaps), ["chrom", "start", "end", "_up", "_n"])
+    offset = F.when(F.col("_up"), F.col("pos") - F.col("start")).otherwise(F.col("end") - 1 - F.col("pos"))
+    means = pid.groupBy(offset.cast("int").alias("offset")).agg((F.sum(F.col("pid") * F.col("_n")) / F.sum("_n")).alias("pid"))
+    every = asked.limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("offset"))
+    return every.join(means, "offset", "left").select("offset", "pid")
+
+
+def pids(blocks: DataFrame, reference: str, missing: str = GAPS, only: list[str] | None = None, ignore_gaps: bool = False) -> DataFrame:
+    """chrom, pos, pid at every reference base that exactly one block holds. Positions of several blocks are told by the
+    blocks' places alone, so no base is shuffled."""
+    tiles = pid_tiles(blocks, reference, missing, only, ignore_gaps)
+    twice = _twice(_sided(blocks, reference))
+    out = tiles.join(twice, F.col("block") == F.col("_tb"), "left").select("chrom", "start", "twice", F.posexplode("pids").alias("i", "pid"))
+    out = out.select("chrom", (F.col("start") + F.col("i")).alias("pos"), "twice", "pid")
+    return out.where(F.col("pid").isNotNull() & _alone()).select("chrom", "pos", "pid")
 
 
 def unique_column(gcells: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -210,24 +341,38 @@ def unique_column(gcells: DataFrame, wanted: DataFrame) -> DataFrame:
     return hits.select("chrom", "pos", "name", ok.alias("nuc"))
 
 
-def unique_columns(blocks: DataFrame, reference: str) -> DataFrame:
-    """chrom, pos, name, nuc: the column of every genome position that exactly one block holds.
-
-    Sequences without symbols stand as gaps throughout; a block without one reference sequence fails. The rows of a block
-    are brought together once and laid out side by side, so no cells are shuffled; which positions lie in several blocks
-    is told by the blocks' places alone.
-    """
-    from spanloom.operators.overlap import overlap_join
-
+def _sided(blocks: DataFrame, reference: str) -> DataFrame:
+    """block, rows (all its sequences), r (the reference one), chrom, s (its first base), n, neg; blocks without exactly
+    one reference sequence fail, those whose reference has no symbols are left out."""
     rows = blocks.groupBy("block").agg(F.collect_list(F.struct("name", "seq", "start", "end", "strand")).alias("rows"))
     refs = F.filter("rows", lambda r: r["name"].startswith(f"{reference}."))
     wrong = F.raise_error(F.concat(F.lit("block without one reference sequence: "), F.col("block").cast("string"))).cast(rows.select(refs[0]).dtypes[0][1])
     rows = rows.select("block", "rows", F.when(F.size(refs) == 1, F.get(refs, F.lit(0))).otherwise(wrong).alias("r")).where("r.seq is not null and r.seq <> ''")
     n, neg = _bases(F.col("r.seq")), F.coalesce("r.strand", F.lit("+")) == "-"
-    rows = rows.withColumns({"chrom": F.substring_index("r.name", ".", -1), "s": F.when(neg, F.col("r.end") - n).otherwise(F.col("r.start")), "neg": neg, "n": n})
+    return rows.withColumns({"chrom": F.substring_index("r.name", ".", -1), "s": F.when(neg, F.col("r.end") - n).otherwise(F.col("r.start")), "neg": neg, "n": n})
+
+
+def _twice(rows: DataFrame) -> DataFrame:
+    """_tb (a block), twice: where other blocks hold the same bases."""
+    from spanloom.operators.overlap import overlap_join
+
     places = cut(rows.select("block", "chrom", F.col("s").alias("start"), (F.col("s") + F.col("n")).alias("end")).where("start < end"))
-    twice = overlap_join(places, places).where("a_block <> b_block").groupBy(F.col("a_block").alias("_tb")).agg(F.collect_set(F.struct(F.greatest("a_start", "b_start").alias("s"), F.least("a_end", "b_end").alias("e"))).alias("twice"))
+    return overlap_join(places, places).where("a_block <> b_block").groupBy(F.col("a_block").alias("_tb")).agg(F.collect_set(F.struct(F.greatest("a_start", "b_start").alias("s"), F.least("a_end", "b_end").alias("e"))).alias("twice"))
+
+
+def _alone() -> Column:
+    return F.col("twice").isNull() | ~F.exists("twice", lambda t: (F.col("pos") >= t["s"]) & (F.col("pos") < t["e"]))
+
+
+def unique_columns(blocks: DataFrame, reference: str) -> DataFrame:
+    """chrom, pos, name, nuc: the column of every genome position that exactly one block holds.
 
+    Sequences without symbols stand as gaps throughout; a block without one reference sequence fails. The rows of a block
+    are brought together once and laid out side by side, so no cells are shuffled; which positions lie in several blocks
+    is told by the blocks' places alone.
+    """
+    rows = _sided(blocks, reference)
+    twice = _twice(rows)
     pieces = lambda c: F.regexp_extract_all(c, F.lit("(?s).{1,64}"), F.lit(0))
     ref = pieces(F.col("r.seq"))
     before = F.aggregate(F.transform(ref, _bases), F.array(F.lit(0)), lambda a, k: F.array_append(a, F.element_at(a, -1) + k))
@@ -238,5 +383,4 @@ def unique_columns(blocks: DataFrame, reference: str) -> DataFrame:
     out = out.select(*kept[:-1], "name", "c", F.posexplode(F.arrays_zip(F.split("c.ref", "").alias("ref"), F.split("c.text", "").alias("nuc"))).alias("i", "x")).where("x.ref <> '-' and x.nuc is not null")
     rank = F.col("c.before") + _bases(F.substring("c.ref", F.lit(1), F.col("i") + 1))
     out = out.select("chrom", "twice", "name", F.col("x.nuc").alias("nuc"), F.when(F.col("neg"), F.col("s") + F.col("n") - rank).otherwise(F.col("s") + rank - 1).alias("pos"))
-    alone = F.col("twice").isNull() | ~F.exists("twice", lambda t: (F.col("pos") >= t["s"]) & (F.col("pos") < t["e"]))
-    return out.where(alone).select("chrom", "pos", "name", "nuc")
+    return out.where(_alone()).select("chrom", "pos", "name", "nuc")

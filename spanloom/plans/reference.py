@@ -405,7 +405,7 @@ def a04_conservation_profile(spark, d):
 
 @query(f"{with_('seqs', 'blocks', 'cells')}, {_PID} select 'chr1' as chrom, pos, round(pid, 9) as pid from pids")
 def a06_pid(spark, d):
-    return alignment.pid_by_position(alignment.genome_cells(v.blocks(spark, d), "A")).select("chrom", "pos", F.round("pid", 9).alias("pid"))
+    return alignment.pids(v.blocks(spark, d), "A").select("chrom", "pos", F.round("pid", 9).alias("pid"))
 
 
 @query("select event_id, round(avg(value) over (partition by user_id order by event_id rows unbounded preceding), 9) as mean from events")

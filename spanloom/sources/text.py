@@ -54,7 +54,8 @@ def parse_bed(df: DataFrame, score: str = "long", drop_after: int | None = None,
         df = df.where(F.when(F.size("f") >= 3, True).otherwise(_fail("fewer than three fields", F.col("value"), "boolean")))
         df = df.where(F.when(strand.isNull() | strand.isin("+", "-", ""), True).otherwise(_fail("unknown strand", F.col("value"), "boolean")))
     cols = [strip(_field(1)).alias("chrom"), _number(2, "long", "invalid start", strict).alias("start"), _number(3, "long", "invalid end", strict).alias("end")]
-    return df.select(*cols, strip(_field(4)).alias("name"), _number(5, score, "invalid score", strict).alias("score"), F.when(strand != "", strand).alias("strand"))
+    row = F.struct(*cols, strip(_field(4)).alias("name"), _number(5, score, "invalid score", strict).alias("score"), F.when(strand != "", strand).alias("strand"))
+    return df.select(F.inline(F.array(row)))  # each field is parsed once, whatever is built on it
 
 
 def read_bed(spark: SparkSession, path: str | list[str], score: str = "long", drop_after: int | None = None, strict: bool = True, skip_headers: bool = False) -> DataFrame:
