@@ -1,7 +1,9 @@
 """Sequence and read functions, alignments, liftover and statistics: fixed cases."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -183,7 +185,8 @@ def test_exact_test_and_beta(spark):
     assert got[1].p == pytest.approx(17 / 70) and got[2].p is None
     two = df.where("a = 3").select(stats.fisher_exact("a", "b", "c", "d").alias("x")).first().x
     assert two.p == pytest.approx(34 / 70)
-    assert stats.beta_value(1, 1) == pytest.approx(1) and stats.beta_value(0.01, 800) == pytest.approx(93.00376, abs=1e-5)
+    assert stats.beta_values(np.array([1, 0.01]), np.array([1, 800])).tolist() == [pytest.approx(1), pytest.approx(93.00376, abs=1e-5)]
+    assert stats.log_gamma(np.array([0.01, 0.5, 1, 31.9, 32, 1e6])).tolist() == pytest.approx([math.lgamma(x) for x in (0.01, 0.5, 1, 31.9, 32, 1e6)], rel=1e-13, abs=1e-13)
     b = spark.createDataFrame([(10.0, 13.0, 0.245), (11.0, 16.0, 0.76), (None, 1.0, 0.5)], "a double, b double, x double")
     r = b.select(stats.reg_incomplete_beta("a", "b", "x").alias("i"), stats.beta_pdf("x", "a", "b").alias("p"), stats.beta_cdf("x", "a", "b").alias("c"), stats.beta("a", "b").alias("v")).collect()
     assert r[0].i == pytest.approx(0.02579353, abs=1e-8) and r[1].i == pytest.approx(0.9999495, abs=1e-7) and r[0].p == pytest.approx(0.7055451, abs=1e-7) and r[0].c == r[0].i and r[2].v is None
