@@ -143,7 +143,7 @@ def _annotations(spark: SparkSession, d: str) -> DataFrame:
     return o.select(line.alias("value"))
 
 
-@query(f'{with_("rois", "occ")} select chrom, "start", "end", strand, 463.0 as score, name, \'Simple\' as family, c_start, c_end, c_len, name || \'_\' || "start" as uniq_id from occ where "start" < "end"')
+@query(f'{with_("rois", "occ")} select chrom, "start", "end", strand, cast(463 as double) as score, name, \'Simple\' as family, c_start, c_end, c_len, name || \'_\' || "start" as uniq_id from occ where "start" < "end"')
 def sc16_repeat_annotations(spark, d):
     return text.read_repeats(spark, _stored(spark, _annotations(spark, d), "repeats"))
 
@@ -186,7 +186,7 @@ def sc21_table_without_header(spark, d):
     return text.read_table(spark, at, header=False).drop("ord")
 
 
-@query("select count(*) as n, sum(length(c_name)) as chars from customer")
+@query("select count(*) as n, cast(sum(length(c_name)) as bigint) as chars from customer")
 def sc23_lines(spark, d):
     c = table(spark, d, "customer").select(F.concat("c_name", F.lit("\r\n  ")).alias("value"))
     at = _stored(spark, c, "lines")

@@ -1,12 +1,13 @@
 """Block formats: FASTA, FASTQ, fixed-step WIG, MAF, repeat alignments.
 
 Where a record's first line can be told by itself (FASTA, MAF), the file is read with that as the line separator, so it
-is still split, fixed-step WIG at its headers. Formats with state from line to line (FASTQ, repeat alignments) are read a
-file at a time; give such data as many files. Parsers are generators over Arrow batches.
+is still split, fixed-step WIG at its headers. Four-line FASTQ is read in byte ranges that find their first record. Repeat
+alignments and wrapped or compressed FASTQ are read a file at a time; give such data as many files. Parsers are generators over Arrow batches.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -100,10 +101,78 @@ def parse_fastq_wrapped(text: str) -> Iterator[tuple[str, str, str]]:
         yield name, seq, qual
 
 
-def read_fastq(spark: SparkSession, path: str | list[str], allow_mismatch: bool = False, wrapped: bool = False) -> DataFrame:
-    """name, seq, qual. A bare ``+`` line only passes with ``allow_mismatch`` (or ``wrapped``)."""
-    parse = (lambda p, t: parse_fastq_wrapped(t)) if wrapped else (lambda p, t: parse_fastq(t, allow_mismatch))
-    return _parsed(_whole(spark, path), "name string, seq string, qual string", parse)
+def _ranges(spark: SparkSession, path: str | list[str], size: int) -> DataFrame:
+    """path, at: byte ranges of ``size`` of the files, one partition each; only the files' lengths are listed."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    n = files.agg(F.sum(F.ceil(F.col("length") / size))).first()[0] or 1
+    return files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("at")).repartition(int(n))
+
+
+def _records_from(path: str, at: int, size: int) -> Iterator[list[str]]:
+    """The four-line records that begin in [at, at + size) of a file; the last one may end beyond it.
+
+    A record begins at a line with ``@`` whose second next line has ``+``: a quality line that begins with ``@`` is
+    followed by a name and a sequence, and no sequence begins with ``+``.
+    """
+    from pyarrow import fs
+
+    where = path if "://" in path else "file://" + path.removeprefix("file:")
+    system, name = fs.FileSystem.from_uri(where)
+    with system.open_input_file(name) as raw:
+        begin = max(0, at - 1)
+        raw.seek(begin)
+        f = io.BufferedReader(raw, 1 << 20)
+        place = begin
+        if at:
+            place += len(f.readline())  # the rest of a line that an earlier range has
+        lines: list[tuple[int, str]] = []
+
+        def more() -> bool:
+            nonlocal place
+            while x := f.readline():
+                here, place = place, place + len(x)
+                text = x.decode("utf-8").rstrip("\r\n")
+                if text.strip():
+                    lines.append((here, text))
+                    return True
+            return False
+
+        while more() and len(lines) < 3:
+            pass
+        if at:
+            while len(lines) >= 3 and not (lines[0][1].startswith("@") and lines[2][1].startswith("+")):
+                lines.pop(0)
+                if lines[0][0] >= at + size or not more():
+                    break
+            if len(lines) == 2 and lines[0][1].startswith("@"):  # the rest of a whole record never looks so
+                yield [x for _, x in lines]
+            if len(lines) < 3 or not (lines[0][1].startswith("@") and lines[2][1].startswith("+")):
+                return
+        while lines and lines[0][0] < at + size:
+            while len(lines) < 4 and more():
+                pass
+            yield [x for _, x in lines[:4]]
+            del lines[:4]
+            if not lines and not more():
+                return
+
+
+def read_fastq(spark: SparkSession, path: str | list[str], allow_mismatch: bool = False, wrapped: bool = False, range_bytes: int = 64 << 20) -> DataFrame:
+    """name, seq, qual. A bare ``+`` line only passes with ``allow_mismatch`` (or ``wrapped``).
+
+    Four-line files are read in ranges of ``range_bytes``, each finding its own first record. Compressed files and records
+    over several lines (``wrapped``) can't be entered midway; those are read a file at a time.
+    """
+    if wrapped or any(f.endswith((".gz", ".bz2", ".zst")) for f in spark.read.text(path).inputFiles()):
+        parse = (lambda p, t: parse_fastq_wrapped(t)) if wrapped else (lambda p, t: parse_fastq(t, allow_mismatch))
+        return _parsed(_whole(spark, path), "name string, seq string, qual string", parse)
+    rows = _ranges(spark, path, range_bytes).select(F.col("path").alias("p"), F.col("at").cast("string").alias("value"))
+
+    def records(p: str, at: str) -> Iterator[tuple[str, str, str]]:
+        for rows in _records_from(p, int(at), range_bytes):
+            yield from parse_fastq("\n".join(rows), allow_mismatch)
+
+    return _parsed(rows, "name string, seq string, qual string", records)
 
 
 def parse_fixed_wig(text: str) -> Iterator[tuple[str, int, int, float]]:

@@ -235,3 +235,21 @@ def test_contract_without_training_text():
 
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and {"p1_found", "p2_found", "p3_found", "p4_found"} <= set(q) and len(q) > 60
+
+
+@pytest.mark.parametrize("size", [17, 150, 64 << 20])
+def test_fastq_in_ranges(spark, tmp_path, size):
+    import random
+
+    rnd = random.Random(size)
+    want = []
+    for i in range(30):
+        seq = "".join(rnd.choice("ACGTN") for _ in range(rnd.randrange(1, 20)))
+        want.append((f"r{i}", seq, "".join(rnd.choice("@+I#") for _ in seq)))
+    text = "".join(f"@{n}\n{s}\n+{n}\n{q}\n" + "\n" * (k % 5 == 0) for k, (n, s, q) in enumerate(want))
+    p = put(tmp_path, "a.fastq", text)
+    got = blocks.read_fastq(spark, p, range_bytes=size)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert sorted(tuple(r) for r in blocks.read_fastq(spark, put(tmp_path, "b.fastq", text[:-1].replace("\n", "\r\n")), range_bytes=size).collect()) == sorted(want)
+    with pytest.raises(Exception, match="truncated|differ"):
+        blocks.read_fastq(spark, put(tmp_path, "c.fastq", text.rstrip() + "\n@x\nAC\n"), range_bytes=64 << 20).collect()
