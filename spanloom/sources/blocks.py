@@ -144,7 +144,7 @@ def _records_from(path: str, at: int, size: int) -> Iterator[list[str]]:
                 lines.pop(0)
                 if lines[0][0] >= at + size or not more():
                     break
-            if len(lines) == 2 and lines[0][1].startswith("@"):  # the rest of a whole record never looks so
+            if len(lines) == 2 and lines[0][0] < at + size and lines[0][1].startswith("@"):  # the rest of a whole record never looks so
                 yield [x for _, x in lines]
             if len(lines) < 3 or not (lines[0][1].startswith("@") and lines[2][1].startswith("+")):
                 return
