@@ -49,13 +49,17 @@ def join(a: argparse.Namespace) -> None:
     (ka, ha), (kb, hb) = _key(a.first_key), _key(a.second_key or a.first_key)
     if ha != hb and a.missing is None:
         sys.exit("one table with and one without a header need a missing value")
-    left, right = read_table(s, a.first, ha).withColumnRenamed("ord", "_o1"), read_table(s, a.second, hb).withColumnRenamed("ord", "_o2")
+    left, right = read_table(s, a.first, ha), read_table(s, a.second, hb)
     if a.duplicates == "column_wise_join":
-        out = join_tables(left, right, ka, kb, a.duplicates, a.missing, a.ignore_missing, a.unpaired, "_o1", "_o2", ha)
+        out = join_tables(left.withColumnRenamed("ord", "_o1"), right.withColumnRenamed("ord", "_o2"), ka, kb, a.duplicates, a.missing, a.ignore_missing, a.unpaired, "_o1", "_o2", ha)
     else:
-        out = join_tables(left.drop("_o1"), right.drop("_o2"), ka, kb, a.duplicates, a.missing, a.ignore_missing, a.unpaired)
+        # the first table's order, then the second's; rows that only the second has come last
+        place = lambda n: F.lpad(F.col("ord").cast("string"), 20, "0").alias(n)
+        left, right = left.select(*[f"`{c}`" for c in left.columns if c != "ord"], place("_o1")), right.select(*[f"`{c}`" for c in right.columns if c != "ord"], place("_o2"))
+        out = join_tables(left, right, ka, kb, a.duplicates, a.missing, a.ignore_missing, a.unpaired)
+        out = out.orderBy(F.col("_o1").rlike("^[0-9]{20}$").desc(), "_o1", "_o2").drop("_o1", "_o2")
     lines = _lines(out)
-    n = len(left.columns) - 1
+    n = len([c for c in left.columns if c not in ("ord", "_o1")])
     head = joined_header(out.columns[:n] if ha else None, out.columns[n:] if hb else None, n, len(out.columns) - n, a.missing)
     if head:
         lines = s.createDataFrame([("\t".join(head),)], "value string").union(lines)

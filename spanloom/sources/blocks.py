@@ -108,16 +108,21 @@ def _ranges(spark: SparkSession, path: str | list[str], size: int) -> DataFrame:
     return files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("at")).repartition(int(n))
 
 
+def _opened(path: str) -> tuple:
+    """The store of a path and its name there; a path without a scheme is a shared folder's."""
+    from pyarrow import fs
+
+    local = path.removeprefix("file://").removeprefix("file:")
+    return (fs.LocalFileSystem(), local) if local.startswith("/") and "://" not in local else fs.FileSystem.from_uri(path)
+
+
 def _records_from(path: str, at: int, size: int) -> Iterator[list[str]]:
     """The four-line records that begin in [at, at + size) of a file; the last one may end beyond it.
 
     A record begins at a line with ``@`` whose second next line has ``+``: a quality line that begins with ``@`` is
     followed by a name and a sequence, and no sequence begins with ``+``.
     """
-    from pyarrow import fs
-
-    where = path if "://" in path else "file://" + path.removeprefix("file:")
-    system, name = fs.FileSystem.from_uri(where)
+    system, name = _opened(path)
     with system.open_input_file(name) as raw:
         begin = max(0, at - 1)
         raw.seek(begin)
@@ -287,10 +292,11 @@ def read_locus_alignment(spark: SparkSession, files: list[str], chrom: str, star
     plain, odd = [f for f in hit if ":" not in f.rsplit("/", 1)[-1]], [f for f in hit if ":" in f.rsplit("/", 1)[-1]]
     parts = [read_maf(spark, plain)] if plain else []
     if odd:
-        # Hadoop's file systems refuse names with a colon, so the workers open those themselves, on a folder they share
+        # Hadoop's file systems refuse names with a colon, so the workers open those themselves, on whatever store they are
         def opened(path: str, _: str) -> Iterator[tuple]:
-            with open(path.removeprefix("file://"), encoding="utf-8") as f:
-                yield from parse_maf(path.rsplit("/", 1)[-1], f.read())
+            system, name = _opened(path)
+            with system.open_input_stream(name) as f:
+                yield from parse_maf(path.rsplit("/", 1)[-1], f.read().decode("utf-8"))
 
         parts.append(_parsed(spark.createDataFrame([(f, "") for f in odd], "p string, value string").repartition(len(odd)), MAF, opened))
     if not parts:

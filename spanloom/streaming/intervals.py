@@ -20,31 +20,52 @@ OUT = "entity string, slice long, seg_kind string, seg_start long, seg_end long,
 STATE = "starts array<long>, ends array<long>, n_rows long"
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    starts, ends, n = state.get if state.exists else ([], [], 0)
-    m = IntervalMap(list(starts), list(ends))
-    for b in batches:
-        for s, e in zip(b["s"].tolist(), b["e"].tolist()):
-            m.insert(s, e)
-        n += len(b)
-    state.update((m.starts, m.ends, n))
+def _rows(key: tuple, m: IntervalMap, n: int) -> pd.DataFrame:
     rows = [("period", s, e) for s, e in zip(m.starts, m.ends)] + [("gap", s, e) for s, e in m.gaps()]
     out = pd.DataFrame(rows, columns=["seg_kind", "seg_start", "seg_end"])
     out.insert(0, "slice", key[1])
     out.insert(0, "entity", key[0])
     out["n_rows"] = n
-    yield out
-
-
-def stream_periods(stream: DataFrame, entity: str, start: str = "start", end: str = "end", width: int = 1 << 20) -> DataFrame:
+    return out
+
+
+def _update(idle_ms: int | None):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        starts, ends, n = state.get if state.exists else ([], [], 0)
+        m = IntervalMap(list(starts), list(ends))
+        if state.hasTimedOut:
+            state.remove()
+            yield _rows(key, m, n)
+            return
+        last = 0
+        for b in batches:
+            for s, e in zip(b["s"].tolist(), b["e"].tolist()):
+                m.insert(s, e)
+            n += len(b)
+            if idle_ms is not None and len(b):
+                last = max(last, int(b["t"].max().timestamp() * 1000))
+        state.update((m.starts, m.ends, n))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        yield _rows(key, m, n)
+
+    return run
+
+
+def stream_periods(stream: DataFrame, entity: str, start: str = "start", end: str = "end", width: int = 1 << 20, time: str | None = None, late: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
     """Periods and gaps of each entity and slice as they stand after each micro-batch (update mode).
 
     A row comes for every segment of every (entity, slice) that a batch touched; the latest rows of a slice (greatest
     n_rows) replace the ones before. Empty, reversed and null intervals take no part. Stretches that cross slices are put
-    together by ``operators.islands.islands`` over the latest rows.
+    together by ``operators.islands.islands`` over the latest rows. With an event ``time``, rows later than ``late`` are left
+    out, and a slice's state is dropped, after its rows came once more, when the watermark has passed its last row by
+    ``idle_ms``; without it state is kept for good.
     """
-    rows = stream.where(F.col(start) < F.col(end)).select(F.col(entity).cast("string").alias("entity"), floor_div(F.col(start), width).alias("slice"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))
-    return rows.groupBy("entity", "slice").applyInPandasWithState(_update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = stream.withWatermark(time, late) if time else stream
+    cols = [F.col(entity).cast("string").alias("entity"), floor_div(F.col(start), width).alias("slice"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")]
+    rows = rows.where(F.col(start) < F.col(end)).select(*cols, *([F.col(time).alias("t")] if time else []))
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    return rows.groupBy("entity", "slice").applyInPandasWithState(_update(idle_ms if time else None), OUT, STATE, "update", timeout)
 
 
 def stream_counts(stream: DataFrame, time: str, window: str, late: str, keys: list[str]) -> DataFrame:

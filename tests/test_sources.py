@@ -253,3 +253,32 @@ def test_fastq_in_ranges(spark, tmp_path, size):
     assert sorted(tuple(r) for r in blocks.read_fastq(spark, put(tmp_path, "b.fastq", text[:-1].replace("\n", "\r\n")), range_bytes=size).collect()) == sorted(want)
     with pytest.raises(Exception, match="truncated|differ"):
         blocks.read_fastq(spark, put(tmp_path, "c.fastq", text.rstrip() + "\n@x\nAC\n"), range_bytes=64 << 20).collect()
+
+
+def test_interval_state_is_dropped_once_the_watermark_has_passed(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from spanloom.streaming import intervals
+
+    began = datetime(2024, 5, 1)
+    schema = "k string, start long, end long, t timestamp"
+
+    def put_rows(i, rows):
+        spark.createDataFrame([(k, s, e, began + timedelta(hours=h)) for k, s, e, h in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+
+    put_rows(0, [("a", 1, 5, 0), ("a", 4, 9, 0), ("b", 1, 2, 0)])
+    read = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    seen = []
+    q = intervals.stream_periods(read, "k", time="t", late="1 hour", idle_ms=3_600_000).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").foreachBatch(lambda d, i: seen.append(sorted(tuple(r) for r in d.collect()))).start()
+    try:
+        q.processAllAvailable()
+        put_rows(1, [("b", 7, 8, 30)])
+        q.processAllAvailable()
+        put_rows(2, [("a", 20, 21, 31)])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = [r for batch in seen for r in batch]
+    assert ("a", 0, "period", 1, 9, 2) in rows and ("b", 0, "gap", 2, 7, 2) in rows
+    # the state of a was dropped before its next row, which begins anew
+    assert ("a", 0, "period", 20, 21, 1) in rows and ("a", 0, "gap", 9, 20, 3) not in rows
