@@ -29,7 +29,7 @@ EXPECTED = {5: 0.95, 6: 0.82, 7: 0.69, 8: 0.62, 9: 0.57, 10: 0.50, 11: 0.46, 12:
 #: The same of other languages over English, over all lengths; those not listed compress as English does.
 LANGUAGE = {"ru": 0.90, "ja": 1.06, "zh": 1.10}
 #: A block without sentence ends is stuffing under this ratio; each sentence end in a hundred bytes takes off so much.
-EXTREME, PER_SENTENCE = 0.88, 0.16
+EXTREME, PER_SENTENCE = 0.88, 0.08
 #: With so many of its own, as ordinary prose has, it never is.
 DENSE = 0.9
 #: A sentence of which the block's commonest pair of words makes up that much has no words of its own.
@@ -101,6 +101,8 @@ def like_data(form: str) -> bool:
         return True
     lines = [x for x in form.split("\n") if x and not x.isspace()]
     data = [(not MARK.search(x) or len(COLUMN.findall(x)) > 1) and (RULE.match(x) is not None or x.count("0") > 0.1 * len(WORD.findall(x)) or bool(LOG_LINE.match(x)) or bool(TRACE.search(x))) for x in lines]
+    if any("|" in x and RULE.match(x) for x in lines):  # a table with a ruled head
+        data = [k or ("|" in x and not MARK.search(x)) for x, k in zip(lines, data)]
     traces = [i for i, x in enumerate(lines) if TRACE.search(x)]
     if len(traces) > 1:
         data[traces[0] : traces[-1] + 1] = [True] * (traces[-1] + 1 - traces[0])
