@@ -192,9 +192,26 @@ def beta_cdf(x: Column | str, a: Column | str, b: Column | str) -> Column:
     return _mapped(lambda x, a, b: incomplete_beta_values(a, b, x), x, a, b)
 
 
-def running_mean(df: DataFrame, value: str, order: str, by: list[str], into: str = "mean") -> DataFrame:
-    """Mean of all values so far, per group (a group's rows are ordered in one task; give a bounded group)."""
-    return df.withColumn(into, F.avg(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def running_mean(df: DataFrame, value: str, order: str, by: list[str], into: str = "mean", width: int | None = None) -> DataFrame:
+    """Mean of all values so far, per group.
+
+    With ``width`` (for a whole-number ``order``) a group is ordered in slices of that width, and what the slices before
+    have comes from one row per slice; without it a group is one task's work. Nulls count for nothing; rows of equal
+    order in one slice are taken one after the other.
+    """
+    if width is None:
+        return df.withColumn(into, F.avg(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = [*by, "_slice"]
+    rows = df.withColumn("_slice", F.floor(F.col(order) / width))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*at).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    sums = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(at)], F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_bs"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_bn"))
+    same = F.lit(True)
+    for i, c in enumerate(at):
+        same &= rows[c].eqNullSafe(sums[f"_k{i}"])
+    upto = Window.partitionBy(*at).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(sums, same).withColumns({"_cs": F.coalesce(F.sum(value).over(upto), F.lit(0)) + F.col("_bs"), "_cn": F.count(value).over(upto) + F.col("_bn")})
+    return out.select(*df.columns, F.try_divide(F.col("_cs"), F.col("_cn")).alias(into))
 
 
 def weighted_choice(df: DataFrame, candidate: str, weight: str, n: int, seed: int = 0) -> DataFrame:

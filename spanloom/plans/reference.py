@@ -410,7 +410,7 @@ def a06_pid(spark, d):
 
 @query("select event_id, round(avg(value) over (partition by user_id order by event_id rows unbounded preceding), 9) as mean from events")
 def a07_running_mean(spark, d):
-    return stats.running_mean(table(spark, d, "events"), "value", "event_id", ["user_id"]).select("event_id", F.round("mean", 9).alias("mean"))
+    return stats.running_mean(table(spark, d, "events"), "value", "event_id", ["user_id"], width=4096).select("event_id", F.round("mean", 9).alias("mean"))
 
 
 @query(f"{with_('seqs')} select doc_id, round((length(seq) - length(replace(seq, 'A', ''))) / length(seq), 9) as a, (length(seq) - length(replace(seq, 'N', ''))) / length(seq) >= 0.1 as low from seqs")

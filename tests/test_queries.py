@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from spanloom.operators import overlap, predicates, skew
 
 DATA = "/root/testdata/sf0.001"
-CHOSEN = ["p1_found", "p1_report", "p2_found", "p2_loaded_bed", "p3_found", "p4_found", "j02_overlap_join", "j10_unpaired", "j18_exons_to_genes", "i01_collapse", "i07_subtract", "l06_liftover_coordinates", "m01_bh", "sc12_maf"]
+CHOSEN = ["p1_found", "p1_report", "p2_found", "p2_edits", "p2_loaded_bed", "p3_found", "p4_found", "j02_overlap_join", "j05_bucket_counts", "j10_unpaired", "j13_paired_mirror", "j18_exons_to_genes", "i01_collapse", "i05_intersection", "i06_jaccard", "i07_subtract",
+          "l05_occurrence_liftover", "l06_liftover_coordinates", "m01_bh", "m01_by", "m03_fisher", "m04_beta", "m07_weighted_choice", "sc03_wig_any", "sc12_maf", "sc12_maf_lines", "sc18_repeat_alignments", "q04_subsequence", "q15_clip_adaptor", "a02_nucleotide_distribution", "a03_profile_start", "a04_conservation_profile", "a05_region_profiles", "a06_pid", "a07_running_mean", "a10_lifted_coverage", "c01_join_mixed_headers", "c10_fdr", "st2_interval_state"]
 
 
 def cell(x):
