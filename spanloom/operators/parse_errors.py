@@ -73,9 +73,8 @@ def _lower(into: np.ndarray, by: np.ndarray, cost: np.ndarray, code: int) -> Non
     by[better] = code
 
 
-def _insert(c: np.ndarray, tok: np.ndarray, counted: bool) -> np.ndarray:
-    """Insertions before a token, the cheapest into each cell of ``c`` (state, fields, line); the steps taken."""
-    by = np.zeros(c.shape, np.uint8)
+def _insert(c: np.ndarray, tok: np.ndarray, counted: bool, by: np.ndarray) -> None:
+    """Insertions before a token, the cheapest into each cell of ``c`` (state, fields, line); ``by`` notes the steps taken."""
     beside = np.where(tok == QUOTE, Q, D)
     closing = np.where((tok == QUOTE) | (tok == RUN), Q, D)
     for j in range(c.shape[1]):
@@ -88,12 +87,11 @@ def _insert(c: np.ndarray, tok: np.ndarray, counted: bool) -> np.ndarray:
                     _lower(c[START, k], by[START, k], c[s, j] + cost, 9 + s)
         if not counted:  # a delimiter leads back to a field's start in the same cell
             _lower(c[QUOTED, j], by[QUOTED, j], c[START, j] + Q, 1 + START)
-    return by
 
 
-def _take(c: np.ndarray, tok: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The cells after a token, and the steps taken: state before, 4 for the next field, 8 for an edit."""
-    out, by = np.full(c.shape, NEVER), np.zeros(c.shape, np.uint8)
+def _take(c: np.ndarray, tok: np.ndarray, counted: bool, by: np.ndarray) -> np.ndarray:
+    """The cells after a token; ``by`` notes the steps taken: state before, 4 for the next field, 8 for an edit."""
+    out = np.full(c.shape, NEVER)
     quote, tab, run = tok == QUOTE, tok == TAB, tok == RUN
 
     def step(to: int, s: int, where: np.ndarray, cost: np.int64 | int, shift: bool = False, edit: bool = False) -> None:
@@ -113,16 +111,16 @@ def _take(c: np.ndarray, tok: np.ndarray, counted: bool) -> tuple[np.ndarray, np
         step(s, s, quote, Q, edit=True)
     for s in (START, BARE, CLOSED):
         step(START, s, tab, D, edit=True)
-    return out, by
+    return out
 
 
-def _trace(at: int, tokens: list[tuple[int, int]], length: int, inserted: list[np.ndarray], taken: list[np.ndarray], s: int, j: int) -> list[str]:
+def _trace(at: int, tokens: list[tuple[int, int]], length: int, inserted: np.ndarray, taken: np.ndarray, s: int, j: int) -> list[str]:
     """The edits of line ``at`` that end in the cell (s, j), as ``op@offset`` in the line's order."""
     ops: list[str] = []
     for t in range(len(tokens), -1, -1):
         place = tokens[t][1] if t < len(tokens) else length
         for _ in range(64):
-            b = int(inserted[t][s, j, at])
+            b = int(inserted[t, s, j, at])
             if not b:
                 break
             if b < 9:
@@ -131,9 +129,9 @@ def _trace(at: int, tokens: list[tuple[int, int]], length: int, inserted: list[n
             else:
                 ops.append(f"insert_delimiter@{place}")
                 s = b - 9
-                j = j - 1 if inserted[t].shape[1] > 1 else j
+                j = j - 1 if inserted.shape[2] > 1 else j
         if t:
-            b = int(taken[t - 1][s, j, at])
+            b = int(taken[t - 1, s, j, at])
             if b & 8:
                 ops.append(f"delete_{'quote' if tokens[t - 1][0] == QUOTE else 'delimiter'}@{tokens[t - 1][1]}")
             s, j = b & 3, j - 1 if b & 4 else j
@@ -167,16 +165,16 @@ def _cheapest(lines: list[str], tokens: list[list[tuple[int, int]]], least: int,
         code[: len(t), i] = [x[0] for x in t]
     c = np.full((4, most or 1, len(lines)), NEVER)
     c[START, 0] = 0
-    inserted, taken, last = [], [], np.full(c.shape, NEVER)
+    inserted, taken = (np.zeros((steps + 1, *c.shape), np.uint8) for _ in range(2))
+    last = np.full(c.shape, NEVER)
     for t in range(steps + 1):
         here = int(np.searchsorted(-size, -t, "right"))  # lines of at least t tokens stand first
         c = c[:, :, :here]
-        inserted.append(_insert(c, code[t, :here], most is not None))
+        _insert(c, code[t, :here], most is not None, inserted[t, :, :, :here])
         ended = int(np.searchsorted(-size, -t - 1, "right"))
         last[:, :, ended:here] = c[:, :, ended:]
         if t < steps:
-            c, by = _take(c[:, :, :ended], code[t, :ended], most is not None)
-            taken.append(by)
+            c = _take(c[:, :, :ended], code[t, :ended], most is not None, taken[t, :, :, :ended])
     states = (START, BARE, CLOSED)
     ends = last[states, (least - 1 if most else 0) :]
     flat = ends.reshape(-1, len(lines))

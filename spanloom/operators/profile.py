@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.common import cut
 from spanloom.operators.overlap import count_overlaps, overlap_join
 from spanloom.operators.predicates import relative_position
 
@@ -27,7 +28,8 @@ def overlap_profile(regions: DataFrame, hits: DataFrame, anchor: str = "START",
     points = hits.where("start is not null").select("chrom", "start", (F.col("start") + 1).alias("end"))
     pairs = overlap_join(points, regions.select("chrom", "start", "end", "strand"))
     rel = relative_position(F.col("a_start"), anchor, F.col("b_start"), F.col("b_end"), F.col("b_strand"))
-    counts = pairs.select(rel.alias("pos")).groupBy("pos").agg(F.count("*").alias("n"))
+    # one row per position hit, read twice: written once
+    counts = cut(pairs.select(rel.alias("pos")).groupBy("pos").agg(F.count("*").alias("n")))
     top = counts.agg(F.max("pos")).first()[0]
     dense = regions.sparkSession.range(0 if top is None else top + 1).select(F.col("id").alias("pos"))
     out = dense.join(counts, "pos", "left").select("pos", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
