@@ -5,6 +5,8 @@ Coordinate note: intervals are half-open ``[start, end)`` unless an operator say
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import uuid
 
@@ -46,9 +48,13 @@ def scratch(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder, remembered for ``sweep``."""
+    """A new path in the shared folder, remembered for ``sweep``, which runs at the end of the program at the latest."""
     at = f"{scratch(spark)}/{kind}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(at)
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        jvm = spark._jvm
+        atexit.register(lambda: _deleted(jvm, _WRITTEN.pop(app, [])))
+    _WRITTEN.setdefault(app, []).append(at)
     return at
 
 
@@ -63,14 +69,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def _deleted(jvm, paths: list[str]) -> int:
+    """Deletes what can still be reached; how many paths that was."""
+    n = 0
+    for x in paths:
+        with contextlib.suppress(Exception):  # the store or the JVM may be gone at the program's end
+            at = jvm.org.apache.hadoop.fs.Path(x)
+            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+            n += 1
+    return n
+
+
 def sweep(spark: SparkSession) -> int:
     """Deletes what this application has written to the shared folder; call it once no result is read any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    for x in paths:
-        at = jvm.org.apache.hadoop.fs.Path(x)
-        at.getFileSystem(conf).delete(at, True)
-    return len(paths)
+    app = spark.sparkContext.applicationId
+    paths, _WRITTEN[app] = _WRITTEN.get(app, []), []
+    return _deleted(spark._jvm, paths)
 
 
 def once(df: DataFrame, **cols: Column) -> DataFrame:
