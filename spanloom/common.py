@@ -52,8 +52,8 @@ def fresh(spark: SparkSession, kind: str) -> str:
     at = f"{scratch(spark)}/{kind}-{uuid.uuid4().hex}"
     app = spark.sparkContext.applicationId
     if app not in _WRITTEN:
-        jvm = spark._jvm
-        atexit.register(lambda: _deleted(jvm, _WRITTEN.pop(app, [])))
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        atexit.register(lambda: _deleted(jvm, conf, _WRITTEN.pop(app, [])))
     _WRITTEN.setdefault(app, []).append(at)
     return at
 
@@ -69,13 +69,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def _deleted(jvm, paths: list[str]) -> int:
+def _deleted(jvm, conf, paths: list[str]) -> int:
     """Deletes what can still be reached; how many paths that was."""
     n = 0
     for x in paths:
         with contextlib.suppress(Exception):  # the store or the JVM may be gone at the program's end
             at = jvm.org.apache.hadoop.fs.Path(x)
-            at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+            at.getFileSystem(conf).delete(at, True)
             n += 1
     return n
 
@@ -84,7 +84,7 @@ def sweep(spark: SparkSession) -> int:
     """Deletes what this application has written to the shared folder; call it once no result is read any more."""
     app = spark.sparkContext.applicationId
     paths, _WRITTEN[app] = _WRITTEN.get(app, []), []
-    return _deleted(spark._jvm, paths)
+    return _deleted(spark._jvm, spark._jsc.hadoopConfiguration(), paths)
 
 
 def once(df: DataFrame, **cols: Column) -> DataFrame:
